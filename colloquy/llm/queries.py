@@ -14,6 +14,7 @@ from colloquy.llm.common import table
 from colloquy.llm.line_dedup import line_dedup
 from colloquy.llm.media import text_media
 from colloquy.llm.mixing import mix_taken
+from colloquy.llm.near_dedup import near_dedup
 from colloquy.llm.token_counts import token_counts
 from colloquy.llm.toxicity import held_out, score_toxicity, train_toxicity
 from colloquy.llm.warc import pages_as_warc, read_warc, resolve_revisits
@@ -27,6 +28,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_taken(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = train_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_mix_sources,
+        op3_near_dedup,
         op4_toxicity,
         op6_chat_format,
         op7_media_columns,

@@ -57,7 +57,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 4, z_least: float = 4.0, most: int = 1 << 14, factors: int = 4, epochs: int = 150, seed: int = 0) -> FactorizationMachine:
+def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z_least: float = 2.5, most: int = 1 << 14, factors: int = 4, epochs: int = 150, seed: int = 0) -> FactorizationMachine:
     """Learns from documents as arrays of hashed terms. Equal documents count once.
 
     Terms in at least `least` documents whose log odds between the classes are z_least standard errors from 0 are kept.
