@@ -2,14 +2,65 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from colloquy.llm.chunk_bpe import bpe_digests
+from colloquy.llm.common import table
+from colloquy.llm.line_dedup import line_dedup
+from colloquy.llm.mixing import mixed_documents
+from colloquy.llm.near_dedup import near_dedup
+from colloquy.llm.toxicity import score_toxicity, train_toxicity
+
+
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """docs with another text and, where there is that column, its number of characters."""
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return docs.withColumns(new)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, trained on the labelled ones, doesn't call toxic."""
+    machine = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, machine).where("predicted = 0").select(*docs.columns)
+
+
+def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that a document with a smaller id has; one that loses all of them stays, empty."""
+    kept = line_dedup(docs)
+    return _with_text(kept, F.col("kept_text")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return near_dedup(docs).where("kept").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each repetition that the mix takes; documents without words are in no mix."""
+    return _with_text(mixed_documents(docs), F.col("text")).select(*docs.columns)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
+    return bpe_digests(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix),
+    ("bpe", tokenise),
+]
+
+#: A learned score and a tokenizer have no SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
