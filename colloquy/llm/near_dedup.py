@@ -33,6 +33,8 @@ WORDS, KEPT = 5, 32
 SHARED = 12
 #: Shingles and texts in a block.
 BLOCK_SHINGLES, BLOCK_TEXTS = 150_000, 800
+#: Characters whose shingles are computed at once; this bounds memory only.
+AT_ONCE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -57,7 +59,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     ends = np.cumsum([len(r) + 1 for r in raw])
     space = (data == 32) | ((data >= 9) & (data <= 13))
     data = (data + np.where((data >= 65) & (data <= 90), 32, 0)).astype(np.uint64) + np.uint64(1)
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(data * up[: len(data)], out=total[1:])
     first = np.flatnonzero(~space & np.r_[True, space[:-1]])
@@ -83,7 +85,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column(2).to_pylist()
-        for part in portions(texts):
+        for part in portions(texts, AT_ONCE):
             sets = shingle_sets(texts[part])
             low = [s[:KEPT] for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -96,7 +98,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the full set to rows whose last column is the text."""
     for b in batches:
         texts = b.column(b.num_columns - 1).to_pylist()
-        for part in portions(texts):
+        for part in portions(texts, AT_ONCE):
             yield pa.RecordBatch.from_arrays([*(c[part] for c in b.columns[:-1]), pa.array([s.tobytes() for s in shingle_sets(texts[part])], pa.binary())], [*b.schema.names[:-1], "set"])
 
 
@@ -201,8 +203,9 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = members.join(reps.select("print", "doc", "version"), "doc").join(sketched.select("print", "doc", "version", "n"), ["print", "doc", "version"]).distinct()
     sizes = nodes.groupBy("cluster").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"))
     nodes = written(nodes.join(sizes, "cluster").select("doc", "version", "cluster", "blocks", "n", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")), "members")
+    # Sorted on both sides at every size: texts of members are too many to count on their being broadcast.
     text = docs.select("doc", "version", "text")
-    sets = nodes.join(text, ["doc", "version"]).select("doc", "cluster", "blocks", "n", "block", "text").mapInArrow(_with_sets, "doc long, cluster long, blocks int, n long, block int, set binary")
+    sets = nodes.hint("merge").join(text, ["doc", "version"]).select("doc", "cluster", "blocks", "n", "block", "text").mapInArrow(_with_sets, "doc long, cluster long, blocks int, n long, block int, set binary")
     large = not nodes.where("blocks > 1").isEmpty()
     if large:
         sets = written(sets, "sets")

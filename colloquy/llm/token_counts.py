@@ -162,11 +162,11 @@ def _counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def portions(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of about AT_ONCE characters: the length of texts, not their number, bounds what is in memory."""
+def portions(texts: list[str | None], at_once: int = AT_ONCE) -> Iterator[slice]:
+    """Slices of about at_once characters: the length of texts, not their number, bounds what is in memory."""
     start = held = 0
     for i, t in enumerate(texts):
-        if held and held + len(t or "") > AT_ONCE:
+        if held and held + len(t or "") > at_once:
             yield slice(start, i)
             start, held = i, 0
         held += len(t or "")
