@@ -18,7 +18,7 @@ from colloquy.llm.mixing import mix_taken
 from colloquy.llm.near_dedup import near_dedup
 from colloquy.llm.token_counts import token_counts
 from colloquy.llm.toxicity import held_out, score_toxicity, train_toxicity
-from colloquy.llm.warc import pages_as_warc, read_warc, resolve_revisits
+from colloquy.llm.warc import pages_as_warc, resolve_revisits, warc_index
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = read_warc(pages_as_warc(table(spark, sf_dir, "pages"))).drop("payload")
+    records = warc_index(pages_as_warc(table(spark, sf_dir, "pages")))
     headers = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("merged_headers"))))
     return resolve_revisits(records).select(F.substr("record_id", F.lit(7)).alias("record_id"), "kind", "canonical_url", "captured", F.substr("refers_to", F.lit(7)).alias("refers_to"), "outcome", F.sha2(headers, 256).alias("headers_sha256"), "payload_sha256")
 

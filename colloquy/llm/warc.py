@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import without
+from colloquy.llm.common import without, written
 
 #: Headers of a 304 answer that may replace those of the stored response; all others stay as stored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -87,6 +87,12 @@ def read_warc(files: DataFrame, data_col: str = "data") -> DataFrame:
     return files.select(files[data_col].alias("data")).mapInArrow(run, RECORD)
 
 
+def warc_index(files: DataFrame, data_col: str = "data") -> DataFrame:
+    """The records of WARC files without their bodies, as a table in the shared folder: files are parsed once, however
+    often the index is read."""
+    return written(read_warc(files, data_col).drop("payload"), "warc-index")
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme, www., default port, fragment, tracking parameters and a trailing slash don't count; the host's case neither.
 
