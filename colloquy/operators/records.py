@@ -16,7 +16,8 @@ RESULT = f"struct<edges:array<{EDGE}>,stances:array<{STANCE}>>"
 def parse_response(raw: Column) -> Column:
     """A model's answer as RESULT, code fences removed; null if it is no JSON object."""
     bare = F.regexp_replace(F.trim(raw), r"(?s)^```[A-Za-z]*\s*|\s*```$", "")
-    return F.from_json(bare, RESULT)
+    is_object = F.startswith(F.get_json_object(bare, "$"), F.lit("{"))  # null where it doesn't parse
+    return F.when(is_object, F.from_json(bare, RESULT))
 
 
 def valid_edge(x: Column) -> Column:

@@ -69,7 +69,7 @@ def ground(edges: DataFrame, stances: DataFrame, vocab: DataFrame, embedder: Emb
         similar = V.nearest(m, v, threshold).where("grounded").select(F.col("key").alias("norm"), F.col("concept").alias("concept_id"))
     report = V.grounded(mentions, entries, similar)
     ids = report.select("norm", "concept_id")
-    s = stances.withColumn("__norm", normal(F.col("concept_label"))).join(ids.withColumnRenamed("norm", "__norm"), "__norm", "left").withColumn("concept_node_id", F.col("concept_id")).drop("__norm", "concept_id")
+    s = stances.withColumn("__norm", normal(F.col("concept_label"))).join(ids.toDF("__norm", "__id"), "__norm", "left").withColumn("concept_node_id", F.col("__id")).drop("__norm", "__id")
     return V.grounded_edges(edges, ids), s, report, V.grown(vocab, report)
 
 
