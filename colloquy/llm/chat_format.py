@@ -18,7 +18,7 @@ MARKS = 4
 
 def escape(text: Column) -> Column:
     """Puts a backslash after < wherever \\...| follows, so no control string is left; unescape() takes it back."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<\\\\$1|")
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
 def unescape(text: Column) -> Column:
