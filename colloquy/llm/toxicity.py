@@ -57,10 +57,11 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z_least: float = 2.5, most: int = 1 << 14, factors: int = 4, epochs: int = 150, seed: int = 0) -> FactorizationMachine:
+def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z_least: float = 2.5, most: int = 1500, factors: int = 4, epochs: int = 120, shrink: float = 1e-3, seed: int = 0) -> FactorizationMachine:
     """Learns from documents as arrays of hashed terms. Equal documents count once.
 
-    Terms in at least `least` documents whose log odds between the classes are z_least standard errors from 0 are kept.
+    Terms in at least `least` documents whose log odds between the classes are z_least standard errors from 0 are kept,
+    the `most` farthest of them: the size of the machine and of its broadcast is bounded whatever the corpus.
     Without documents of both classes every score is the share of toxic ones (0.5 without any).
     """
     first: dict[bytes, int] = {}
@@ -95,7 +96,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z_least: floa
         g = weight * (fm.score(rows, cols, n) - y)
         gr = g[rows]
         sums = np.stack([np.bincount(rows, fm.vectors[cols, f], n) for f in range(factors)], 1)
-        gv = np.stack([np.bincount(cols, gr * (sums[rows, f] - fm.vectors[cols, f]), k) for f in range(factors)], 1) + 1e-4 * fm.vectors
+        gv = np.stack([np.bincount(cols, gr * (sums[rows, f] - fm.vectors[cols, f]), k) for f in range(factors)], 1) + shrink * fm.vectors
         for j, grad in enumerate((np.array([g.sum()]), np.bincount(cols, gr, k) + 1e-5 * np.sign(fm.weights), gv)):
             m[j] = 0.9 * m[j] + 0.1 * grad
             s[j] = 0.999 * s[j] + 0.001 * grad**2
