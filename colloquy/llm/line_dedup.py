@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import SPACE, ascii_lower, without
+from colloquy.llm.common import SPACE, ascii_lower, without, written
 
 #: Stands for a null id among the owners of a line; such rows count as one document after all others.
 LAST = 9223372036854775807
@@ -34,7 +34,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         owners = entries.groupBy("__h1", "__h2").agg(F.min("__doc").alias("__owner"), F.max("__doc").alias("__other")).where(F.lit(min_docs < 2) | (F.col("__owner") != F.col("__other")))
     else:
         owners = entries.select("__h1", "__h2", "__doc").distinct().groupBy("__h1", "__h2").agg(F.min("__doc").alias("__owner"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_docs)
-    drops = entries.join(owners.select("__h1", "__h2", "__owner"), ["__h1", "__h2"]).where(F.col("__doc") != F.col("__owner"))
+    # As a table of its own: then Spark sees how large each side of the join is, and splits the rows of a hot line.
+    owners = written(owners.select("__h1", "__h2", "__owner"), "line-owners")
+    drops = entries.join(owners, ["__h1", "__h2"]).where(F.col("__doc") != F.col("__owner"))
     drops = drops.groupBy("__doc", "__version").agg(F.collect_set("__at").alias("__drop"))
     lines = docs.select("*", doc.alias("__doc"), F.xxhash64(text).alias("__version"))
     lines = lines.join(drops, ["__doc", "__version"], "left").withColumn("__lines", F.split(text, "\n"))
