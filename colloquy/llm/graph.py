@@ -50,9 +50,11 @@ def components(edges: DataFrame) -> DataFrame:
         if e.join(heads, "u", "left_semi").isEmpty():
             return e.withColumnsRenamed({"u": "node", "m": "root"})
         both = e.union(e.select(F.col("m").alias("u"), F.col("u").alias("m")))
-        low = both.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("low"))
-        large = both.where("m > u").join(low, "u").select(F.col("m").alias("u"), F.col("low").alias("m")).distinct()
+        # A table of its own, so that Spark can split the edges of a node that has very many.
+        least = written(both.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("low")), "least")
+        large = both.where("m > u").join(least, "u").select(F.col("m").alias("u"), F.col("low").alias("m")).distinct()
         low = large.groupBy("u").agg(F.min("m").alias("low"))
         small = large.join(low, "u").where("m != low").select(F.col("m").alias("u"), F.col("low").alias("m"))
         old, e = e, written(small.union(low.select("u", F.col("low").alias("m"))).distinct(), "edges")
         discard(old)
+        discard(least)
