@@ -8,7 +8,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from colloquy.functions import domains as D
+from colloquy.operators import vocabulary as V
 
 
 class Extractor(Protocol):
@@ -23,6 +27,12 @@ class Embedder(Protocol):
     def __call__(self, labels: list[str]) -> list[list[float]]: ...
 
 
+class Namer(Protocol):
+    """Names clusters: takes (number, type, phrases) of a batch, gives (number, canonical label, type) of any of them."""
+
+    def __call__(self, batch: list[tuple[int, str, list[str]]]) -> list[tuple[int, str, str]]: ...
+
+
 class WordPairs:
     """Offline stand-in: the first two words of each line of a window make an edge, the first word a stance."""
 
@@ -103,3 +113,38 @@ def embedded(items: DataFrame, embedder: Embedder, label: str = "label") -> Data
     from pyspark.sql.types import ArrayType, DoubleType, StructType
 
     return items.mapInPandas(run, StructType([*items.schema.fields]).add("embedding", ArrayType(DoubleType())))
+
+
+def response_schema() -> str:
+    """What an answer must look like, as JSON schema text for a prompt."""
+    text, number = {"type": "string"}, {"type": "number", "minimum": 0, "maximum": 1}
+    one = lambda *values: {"type": "string", "enum": list(values)}
+    shared = {"evidence_text": text, "polarity": one(*D.POLARITIES), "explicitness": one(*D.EXPLICITNESS), "confidence": number}
+    node = one(*D.NODE_TYPES)
+    edge = {"source_label": text, "source_type": node, "relation": one(*D.RELATIONS), "target_label": text, "target_type": node, "stance": one(*D.STANCES)} | shared
+    stance = {"concept_label": text, "concept_type": node} | shared
+    item = lambda p: {"type": "array", "items": {"type": "object", "properties": p, "required": list(p)}}
+    return json.dumps({"type": "object", "properties": {"edges": item(edge), "stances": item(stance)}, "required": ["edges", "stances"]})
+
+
+def assigned_names(members: DataFrame, namer: Namer, batch: int = V.BATCH) -> DataFrame:
+    """(type, cluster, canonical_label, canonical_type) as a namer gives them, a batch of clusters for each call.
+
+    Numbers that are not of the batch and types that don't exist count for nothing; a call that fails, or leaves a cluster
+    out, gives no row for it, and vocabulary.named() falls back to its most mentioned label.
+    """
+    heads = V.representatives(members).groupBy("type", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("phrases"))
+    numbered = heads.withColumn("number", F.row_number().over(Window.orderBy("type", "cluster")) - 1).withColumn("call", F.floor(F.col("number") / batch))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("number")
+        try:
+            got = namer([(int(n), t, list(p)) for n, t, p in zip(pdf["number"], pdf["type"], pdf["phrases"], strict=True)])
+        except Exception:  # noqa: BLE001  the fallback names these clusters
+            got = []
+        names = {n: (label, kind) for n, label, kind in got if kind in D.NODE_TYPES}
+        pdf = pdf[pdf["number"].isin(list(names))]
+        return pdf.assign(canonical_label=[names[n][0] for n in pdf["number"]], canonical_type=[names[n][1] for n in pdf["number"]])[["type", "cluster", "canonical_label", "canonical_type"]]
+
+    kind = dict(members.dtypes)["cluster"]
+    return numbered.groupBy("call").applyInPandas(run, f"type string, cluster {kind}, canonical_label string, canonical_type string")

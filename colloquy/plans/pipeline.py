@@ -9,12 +9,12 @@ from colloquy.functions.text import normal, record_id
 from colloquy.operators import records as R
 from colloquy.operators import sessionize as S
 from colloquy.operators import vocabulary as V
-from colloquy.plans.models import Embedder, Extractor, answers, embedded
+from colloquy.plans.models import Embedder, Extractor, answers, embedded, response_schema
 
 
 def prompts(windows: DataFrame, block: str) -> DataFrame:
     """window texts with the prompt: the vocabulary's block, then the excerpt."""
-    return windows.withColumn("prompt", F.concat(F.lit(f"VOCABULARY\n{block}\nEXCERPT\n"), F.col("excerpt"), F.lit("\nAnswer with JSON that has edges and stances.")))
+    return windows.withColumn("prompt", F.concat(F.lit(f"VOCABULARY\n{block}\nEXCERPT\n"), F.col("excerpt"), F.lit(f"\nAnswer with JSON of this schema alone:\n{response_schema()}")))
 
 
 def prompt_block(vocab: DataFrame | None) -> str:

@@ -378,9 +378,9 @@ def window_texts(t):
     return S.window_texts(S.turn_windows(t.turns)).withColumn("turn_ids", F.array_join("turn_ids", ","))
 
 
-@query(_WINDOW_TEXT + " SELECT table_id, window_start, sha256('VOCABULARY' || chr(10) || 'none' || chr(10) || 'EXCERPT' || chr(10) || excerpt || chr(10) || 'Answer with JSON that has edges and stances.') AS prompt FROM x", "t")
+@query(_WINDOW_TEXT + " SELECT table_id, window_start, sha256('VOCABULARY' || chr(10) || 'none' || chr(10) || 'EXCERPT' || chr(10) || excerpt) AS prompt FROM x", "t")
 def window_prompts(t):
-    return prompts(S.window_texts(S.turn_windows(t.turns)), "none").select("table_id", "window_start", F.sha2("prompt", 256).alias("prompt"))
+    return prompts(S.window_texts(S.turn_windows(t.turns)), "none").select("table_id", "window_start", F.sha2(F.regexp_replace("prompt", r"(?s)\nAnswer with JSON of this schema alone:\n.*$", ""), 256).alias("prompt"))
 
 
 _WORDS = "len(regexp_extract_all(text, '\\S+'))"
@@ -533,6 +533,14 @@ def vocabulary_assembly(t):
     return V.vocabulary(f, V.named(f)).select("concept_id", "label", "mention_count", F.array_join("aliases", "|").alias("aliases"))
 
 
+_CUE = "relation IN ('" + "', '".join(sorted(set(R.CUES) & set(D.RELATIONS))) + "')"
+
+
+@query(f"SELECT edge_id AS turn_id, relation AS cue, relation, trim(source_label) AS \"left\", trim(target_label) AS \"right\" FROM e WHERE {_CUE}", "e")
+def causal_cues(t):
+    return R.causal_cues(t.e.select(F.col("edge_id").alias("turn_id"), F.concat_ws(" ", "source_label", "relation", "target_label").alias("text")))
+
+
 # ---- evaluation and export
 
 
