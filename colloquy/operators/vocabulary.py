@@ -75,7 +75,7 @@ def clusters(items: DataFrame, similarity: float = CLUSTER_SIMILARITY, key: str
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
         number = average_linkage(np.array(pdf[vector].tolist(), float), 1 - similarity) if len(pdf) > 1 else np.zeros(len(pdf), int)
         head = pdf.groupby(number)[key].transform("min")
-        return pd.DataFrame({group: pdf[group], key: pdf[key], "cluster": head})
+        return pd.DataFrame({group: pdf[group].tolist(), key: pdf[key].tolist(), "cluster": head.tolist()})
 
     kinds = dict(items.dtypes)
     return items.select(group, key, vector).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster {kinds[key]}")

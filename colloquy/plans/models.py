@@ -143,8 +143,8 @@ def assigned_names(members: DataFrame, namer: Namer, batch: int = V.BATCH) -> Da
         except Exception:  # noqa: BLE001  the fallback names these clusters
             got = []
         names = {n: (label, kind) for n, label, kind in got if kind in D.NODE_TYPES}
-        pdf = pdf[pdf["number"].isin(list(names))]
-        return pdf.assign(canonical_label=[names[n][0] for n in pdf["number"]], canonical_type=[names[n][1] for n in pdf["number"]])[["type", "cluster", "canonical_label", "canonical_type"]]
+        rows = [(t, c, *names[n]) for n, t, c in zip(pdf["number"].tolist(), pdf["type"].tolist(), pdf["cluster"].tolist(), strict=True) if n in names]
+        return pd.DataFrame(rows, columns=["type", "cluster", "canonical_label", "canonical_type"])
 
     kind = dict(members.dtypes)["cluster"]
     return numbered.groupBy("call").applyInPandas(run, f"type string, cluster {kind}, canonical_label string, canonical_type string")
