@@ -8,18 +8,52 @@ from pyspark.sql import functions as F
 from colloquy.functions.text import pseudonym, record_id, stripped
 
 
-def utterances(segments: DataFrame, gap, group: tuple[str, ...] = ("table_id", "round_id"), order: str = "ord", discussion_id: str = "") -> DataFrame:
+def _islands(segments: DataFrame, gap, group: tuple[str, ...], order: str) -> DataFrame:
+    """segments with __island, by one running sum over each group."""
+    w = Window.partitionBy(*group).orderBy("start_time", order)
+    same = F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) & (F.col("start_time") - F.lag("end_time").over(w) <= gap)
+    starts = F.when(F.row_number().over(w) == 1, 1).when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
+    return segments.withColumn("__new", starts).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _renamed(key: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"__of_{k}") for k in key]
+
+
+def _islands_by_bucket(segments: DataFrame, gap, group: tuple[str, ...], order: str, bucket) -> DataFrame:
+    """The same where a group may be too large for one task: rows are put in order within buckets of start_time only.
+    What a bucket needs of earlier ones, the last segment and the number of islands so far, comes from one row a bucket."""
+    key = [*group, "__bucket"]
+    s = segments.withColumn("__bucket", F.floor(F.col("start_time") / bucket))
+    place = F.struct("start_time", order)
+    before = Window.partitionBy(*group).orderBy("__bucket")
+    ends = s.groupBy(*key).agg(F.max_by(F.struct("speaker", "end_time"), place).alias("__end"))
+    ends = ends.select(*_renamed(key), F.lag("__end").over(before).alias("__carried"), (F.row_number().over(before) == 1).alias("__first"))
+    w = Window.partitionBy(*key).orderBy("start_time", order)
+    on = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in key]
+    s = s.join(ends, on)
+    at_start = F.row_number().over(w) == 1
+    speaker = F.when(at_start, F.col("__carried.speaker")).otherwise(F.lag("speaker").over(w))
+    end = F.when(at_start, F.col("__carried.end_time")).otherwise(F.lag("end_time").over(w))
+    same = speaker.eqNullSafe(F.col("speaker")) & (F.col("start_time") - end <= gap)
+    starts = F.when(at_start & F.col("__first"), 1).when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
+    s = s.withColumn("__new", starts).withColumn("__inside", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = s.groupBy(*key).agg(F.sum("__new").alias("__n"))
+    counts = counts.select(*_renamed(key), F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__so_far"))
+    s = s.drop(*[f"__of_{k}" for k in key]).join(counts, on)
+    return s.select(*segments.columns, (F.col("__so_far") + F.col("__inside")).alias("__island"))
+
+
+def utterances(segments: DataFrame, gap, group: tuple[str, ...] = ("table_id", "round_id"), order: str = "ord", discussion_id: str = "", bucket=None) -> DataFrame:
     """Merges consecutive segments of one speaker into turns.
 
     Within a group segments go by start_time, then by `order`. A segment goes on the turn before it if the speaker is the
     same (two nulls are) and it starts at most `gap` after the end of the segment before; overlaps merge too. A turn has
     the first segment's attributes, the last one's end, the stripped non-empty texts one space apart, and the number of
-    segments. Islands and their aggregate share one exchange on the group.
+    segments. Islands and their aggregate share one exchange on the group. With `bucket` (a length of time), a group is
+    put in order bucket by bucket, so that one group may hold much of the table; the result is the same.
     """
-    w = Window.partitionBy(*group).orderBy("start_time", order)
-    same = F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) & (F.col("start_time") - F.lag("end_time").over(w) <= gap)
-    starts = F.when(F.row_number().over(w) == 1, 1).when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
-    s = segments.withColumn("__new", starts).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = _islands(segments, gap, group, order) if bucket is None else _islands_by_bucket(segments, gap, group, order, bucket)
     place = F.struct("start_time", order)
     text = F.when(stripped(F.col("transcript")) != "", stripped(F.col("transcript")))
     t = s.groupBy(*group, "__island").agg(

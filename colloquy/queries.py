@@ -363,6 +363,10 @@ def utterances(t):
     return S.utterances(t.seg, GAP).select("table_id", "round_id", "speaker", "text", "start_time", "end_time", "raw_segment_count")
 
 
+QUERIES["utterances_bucketed"] = lambda spark, sf_dir: S.utterances(Tables(spark, sf_dir).seg, GAP, bucket=7 * 24 * 3600 * 1_000_000).select("table_id", "round_id", "speaker", "text", "start_time", "end_time", "raw_segment_count")
+ORACLE_SQL["utterances_bucketed"] = ORACLE_SQL["utterances"]
+
+
 _TURN_ROWS = ",, p AS (SELECT *, row_number() OVER (PARTITION BY table_id, round_id ORDER BY start_time, turn_id) - 1 AS position, count(*) OVER (PARTITION BY table_id, round_id) AS n FROM t)"
 _WINDOWS = _TURN_ROWS + ", w AS (SELECT p.*, k.k * 2 AS window_start FROM p JOIN range(0, 10000) k(k) ON k.k * 2 <= p.position AND p.position < k.k * 2 + 3)"
 _WINDOW_TEXT = _WINDOWS + ", x AS (SELECT table_id, round_id, window_start, string_agg(text, ' ' ORDER BY position) AS window_text, string_agg('[' || speaker || ']: ' || text, chr(10) ORDER BY position) AS excerpt, string_agg(turn_id, ',' ORDER BY position) AS turn_ids, arg_min(speaker, position) AS speaker, arg_min(participant_id, position) AS participant_id FROM w GROUP BY table_id, round_id, window_start)"

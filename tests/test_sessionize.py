@@ -14,7 +14,11 @@ def seg(k, speaker, start, end, text, table="t1", round_id="1"):
 
 
 def turns(spark, rows, gap=1.5):
-    out = utterances(spark.createDataFrame(rows, COLS), gap).orderBy("table_id", "round_id", "start_time").collect()
+    """Of both ways to find islands, which agree."""
+    df = spark.createDataFrame(rows, COLS)
+    out = utterances(df, gap).orderBy("table_id", "round_id", "start_time", "turn_id").collect()
+    for bucket in (1.0, 7.5):
+        assert utterances(df, gap, bucket=bucket).orderBy("table_id", "round_id", "start_time", "turn_id").collect() == out
     return [(r.table_id, r.speaker, r.text, r.start_time, r.end_time, r.raw_segment_count) for r in out]
 
 
