@@ -32,7 +32,7 @@ WORDS, KEPT = 5, 32
 #: Retained values of a union sketch that must be shared: 12 of 32. At a similarity of 0.75 fewer are for 5 pairs in a million.
 SHARED = 12
 #: Shingles and texts in a block.
-BLOCK_SHINGLES, BLOCK_TEXTS = 150_000, 800
+BLOCK_SHINGLES, BLOCK_TEXTS = 100_000, 250
 #: Characters whose shingles are computed at once; this bounds memory only.
 AT_ONCE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
