@@ -22,25 +22,34 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import written
 from colloquy.llm.graph import components
 
-#: Bits of a table's substring; eight of them make a code.
+#: Bits of a table's substring, and tables; a code is all substrings.
 BITS, TABLES = 16, 8
 BLOCK = 1000
 
 
+def table_recall(cosine: float, bits: int = BITS, tables: int = TABLES) -> float:
+    """The share of pairs at that cosine that meet in some table, if bits differ independently: what to choose bits and
+    tables by. Buckets stay small while 2**bits is above the number of classes, so bits go with the logarithm of the
+    corpus, and tables with what keeps this share up."""
+    p = np.arccos(cosine) / np.pi
+    return 1 - (1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** tables
+
+
 @dataclass
 class Quantiser:
-    """Codes are the signs of the centred unit vector in two learned rotations."""
+    """Codes are the signs of the centred unit vector in learned rotations."""
 
     mean: np.ndarray
-    axes: np.ndarray  # dimension x 128
+    axes: np.ndarray  # dimension x bits of a code
+    bits: int = BITS
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        """(n, TABLES) substrings as int32."""
+        """(n, tables) substrings as int32."""
         bits = (unit - self.mean) @ self.axes >= 0
-        return (bits.reshape(len(unit), TABLES, BITS) << np.arange(BITS)).sum(2).astype(np.int32)
+        return (bits.reshape(len(unit), -1, self.bits) << np.arange(self.bits)).sum(2).astype(np.int32)
 
 
-def fit_quantiser(unit: np.ndarray, rounds: int = 30, seed: int = 0) -> Quantiser:
+def fit_quantiser(unit: np.ndarray, rounds: int = 30, seed: int = 0, bits: int = BITS, tables: int = TABLES) -> Quantiser:
     """Iterative quantisation: principal axes, then in turn the nearest binary codes and, by a singular value
     decomposition, the rotation that fits them best. Each rotation starts at random; fewer dimensions than bits of a
     rotation are used again by further rotations."""
@@ -50,8 +59,8 @@ def fit_quantiser(unit: np.ndarray, rounds: int = 30, seed: int = 0) -> Quantise
     _, axes = np.linalg.eigh(centred.T @ centred) if len(unit) else (None, np.eye(dim))
     axes = axes[:, ::-1]
     parts, have = [], 0
-    while have < BITS * TABLES:
-        take = min(dim, BITS * TABLES - have)
+    while have < bits * tables:
+        take = min(dim, bits * tables - have)
         base = centred @ axes[:, :take]
         turn = np.linalg.qr(rng.normal(size=(take, take)))[0]
         for _ in range(rounds if len(unit) else 0):
@@ -59,7 +68,7 @@ def fit_quantiser(unit: np.ndarray, rounds: int = 30, seed: int = 0) -> Quantise
             turn = (left @ right).T
         parts.append(axes[:, :take] @ turn)
         have += take
-    return Quantiser(mean, np.concatenate(parts, 1))
+    return Quantiser(mean, np.concatenate(parts, 1), bits)
 
 
 def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +96,14 @@ def _apart(x, y):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_000, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_000, seed: int = 0, bits: int = BITS, tables: int = TABLES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every id of vectors, all compared by cosine in double precision.
 
     Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components
     link with nothing. Rows that repeat an id are one vector: the least of its arrays. Rows without id are left as they
     are, without links. An empty table gives an empty result, other columns are not read. The quantiser alone is fitted
-    on at most `sample` vectors, the first in a seeded order of hashes; all vectors are indexed.
+    on at most `sample` vectors, the first in a seeded order of hashes; all vectors are indexed. See table_recall() for
+    bits and tables.
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     known = raw.where("id is not null").groupBy("id").agg(F.min("v").alias("v"))
@@ -101,7 +111,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_00
     picked = known.where("v is not null").select("id", "v").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toArrow().column("v").combine_chunks()
     lengths = np.array([len(x) for x in picked], int)
     dim = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 1
-    model = known.sparkSession.sparkContext.broadcast(fit_quantiser(unit_rows(picked, dim)[0], seed=seed))
+    model = known.sparkSession.sparkContext.broadcast(fit_quantiser(unit_rows(picked, dim)[0], seed=seed, bits=bits, tables=tables))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,9 +120,9 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_00
 
     codes = written(known.mapInArrow(coded, "id long, code array<int>, unit binary"), "codes")
     angle = np.arccos(cosine)
-    classes = written(_classes(codes, dim, np.cos(angle / 2) + 1e-9, _near_bits(angle / 2)), "classes")
+    classes = written(_classes(codes, dim, np.cos(angle / 2) + 1e-9, _near_bits(angle / 2, bits * tables)), "classes")
     size = classes.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    pairs = written(_meeting(codes.select("id", "code"), classes, size, angle), "pairs")
+    pairs = written(_meeting(codes.select("id", "code"), classes, size, angle, bits, bits * tables), "pairs")
     linked, edges = _rerank(codes.select("id", "unit"), classes, size, pairs, dim, cosine)
     found = components(edges)
     out = classes.join(size, "leader").join(linked, "id", "left").join(found.select(F.col("node").alias("leader"), "root"), "leader", "left")
@@ -122,9 +132,9 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_00
     return out.union(lost).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _near_bits(angle: float, sigmas: float = 4.0) -> int:
-    """Bits in which codes at that angle differ at most, but for one in 30,000: a binomial's mean and 4 deviations."""
-    n, p = BITS * TABLES, angle / np.pi
+def _near_bits(angle: float, n: int, sigmas: float = 4.0) -> int:
+    """Of n bits those in which codes at that angle differ at most, but for one in 30,000: a binomial's mean and 4 deviations."""
+    p = angle / np.pi
     return int(np.ceil(n * p + sigmas * np.sqrt(n * p * (1 - p))))
 
 
@@ -150,17 +160,17 @@ def _classes(codes: DataFrame, dim: int, cosine: float, near: int) -> DataFrame:
     return codes.select("id").join(led, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
-def _meeting(codes: DataFrame, classes: DataFrame, size: DataFrame, angle: float) -> DataFrame:
+def _meeting(codes: DataFrame, classes: DataFrame, size: DataFrame, angle: float, bits: int, n: int) -> DataFrame:
     """(a, b) with a < b: classes that meet in a table within one bit, whose leaders' codes allow for a link."""
     lead = classes.select("leader").distinct().join(codes.withColumnsRenamed({"id": "leader", "code": "top"}), "leader").join(size, "leader").select("leader", "top", (F.col("size") > 1).cast("int").alias("many"))
     rows = classes.join(lead, "leader").join(codes, "id")
     entries = written(_substrings(rows, "leader", "top", "many").dropDuplicates(["t", "s", "leader"]), "tables")
     # Of two substrings that differ in one bit, one has a 0 there: setting each 0 bit of one side finds them once.
-    flips = F.filter(F.transform(F.array(*[F.lit(0), *(F.lit(1 << k) for k in range(BITS))]), lambda m: F.col("s").bitwiseOR(m)), lambda x: x != F.col("s"))
+    flips = F.filter(F.transform(F.array(*[F.lit(0), *(F.lit(1 << k) for k in range(bits))]), lambda m: F.col("s").bitwiseOR(m)), lambda x: x != F.col("s"))
     probes = entries.select("t", "leader", "top", "many", F.explode(F.concat(F.array("s"), flips)).alias("s"))
     there = entries.select("t", "s", F.col("leader").alias("other"), F.col("top").alias("code"), F.col("many").alias("much"))
     met = probes.join(there, ["t", "s"]).where("leader != other")
-    limit = F.element_at(F.array(*[F.lit(_near_bits(angle * k)) for k in (1, 1.5, 2)]), F.col("many") + F.col("much") + 1)
+    limit = F.element_at(F.array(*[F.lit(_near_bits(angle * k, n)) for k in (1, 1.5, 2)]), F.col("many") + F.col("much") + 1)
     return met.where(_apart(F.col("top"), F.col("code")) <= limit).select(F.least("leader", "other").alias("a"), F.greatest("leader", "other").alias("b")).distinct()
 
 

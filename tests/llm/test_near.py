@@ -10,7 +10,7 @@ import pytest
 from conftest import SMALL
 
 from colloquy.llm import near_dedup as N
-from colloquy.llm.embedding_dedup import embedding_dedup, fit_quantiser
+from colloquy.llm.embedding_dedup import embedding_dedup, fit_quantiser, table_recall
 from colloquy.llm.graph import components
 from colloquy.llm.queries import QUERIES
 
@@ -169,3 +169,11 @@ def test_codes_are_balanced_and_near_vectors_have_near_codes():
     y = x + 0.02 * rng.normal(size=x.shape)
     near = (((y / np.linalg.norm(y, axis=1, keepdims=True) - q.mean) @ q.axes >= 0) != bits).sum(1).mean()
     assert near < 20 < (bits[:1500] != bits[1500:]).sum(1).mean()
+
+
+def test_other_tables_find_the_same_groups(spark):
+    rows = near_vectors()[:500]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want, got = vectors_brute(rows), {r.vec_id: r.n_links for r in embedding_dedup(df, bits=20, tables=12).collect()}
+    assert sum(got.values()) >= 0.97 * sum(n for n, _ in want.values()) and all(got[i] <= want[i][0] for i in want)
+    assert table_recall(0.9) > 0.94 and table_recall(0.95) > 0.99 and table_recall(0.9, 20, 12) > 0.9
