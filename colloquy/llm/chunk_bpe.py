@@ -17,7 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from colloquy.llm.token_counts import portions
+from colloquy.llm.common import in_batches
+from colloquy.llm.token_counts import byte_lengths, portions
 
 WINDOW, MEAN_BITS, LEAST = 16, 9, 64
 #: Characters of remembered chunks and remembered pre-tokens of a worker; they bound memory only.
@@ -177,7 +178,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return in_batches(encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids"))).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,9 +197,8 @@ def _mapped(docs, path, id_col, text_col, columns, of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in portions(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0)[part], *of(c, c.encode(texts[part]))], names)
+            for part in portions(byte_lengths(b.column(1))):
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], *of(c, c.encode(b.column(1)[part].to_pylist()))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
+    return in_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)

@@ -35,6 +35,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """df, with at most so many rows in an Arrow batch of its session from now on: texts and vectors of 10,000 rows, Spark's
+    default, are too much memory for a worker where they are long."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import written
+from colloquy.llm.common import in_batches, written
 from colloquy.llm.graph import components
 
 #: Bits of a table's substring, and tables; a code is all substrings.
@@ -118,7 +118,7 @@ def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_00
             unit, at = unit_rows(b.column(1), dim)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(list(model.value.codes(unit)), pa.list_(pa.int32())), _blob(unit)], ["id", "code", "unit"])
 
-    codes = written(known.mapInArrow(coded, "id long, code array<int>, unit binary"), "codes")
+    codes = written(in_batches(known).mapInArrow(coded, "id long, code array<int>, unit binary"), "codes")
     angle = np.arccos(cosine)
     classes = written(_classes(codes, dim, np.cos(angle / 2) + 1e-9, _near_bits(angle / 2, bits * tables)), "classes")
     size = classes.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))

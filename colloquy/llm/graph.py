@@ -11,26 +11,36 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import discard, written
 
 
+#: Nodes that a task contracts at once; this bounds memory only.
+AT_ONCE = 200_000
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's edges as stars around the least node of its own components: never more edges than it got."""
-    for b in batches:
-        up: dict[int, int] = {}
+    """A task's edges as stars around the least node of its own components: never more edges than it got."""
+    up: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            top = x
-            while (p := up.get(top, top)) != top:
-                top = p
-            while (p := up.get(x, x)) != top:
-                up[x] = top
-                x = p
-            return top
+    def find(x: int) -> int:
+        top = x
+        while (p := up.get(top, top)) != top:
+            top = p
+        while (p := up.get(x, x)) != top:
+            up[x] = top
+            x = p
+        return top
 
+    def stars() -> pa.RecordBatch:
+        nodes = list(up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "m"])
+
+    for b in batches:
         for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             x, y = find(x), find(y)
             if x != y:
                 up[max(x, y)] = min(x, y)
-        nodes = list(up)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["u", "m"])
+        if len(up) > AT_ONCE:
+            yield stars()
+            up.clear()
+    yield stars()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from colloquy.llm.common import in_batches
+
 UNIT, TILE = 64, 32
 
 
@@ -165,7 +167,7 @@ def media_tiles(images: DataFrame, id_col: str = "id", data_col: str = "data", s
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()), strict=True))], ["id", "height", "width", "tile", "dhash", "error"])
 
     kind = images.schema[id_col].dataType.simpleString()
-    return images.select(images[id_col].alias("id"), images[data_col].alias("data")).mapInArrow(run, f"id {kind}, height int, width int, tile binary, dhash string, error string").withColumnRenamed("id", id_col)
+    return in_batches(images.select(images[id_col].alias("id"), images[data_col].alias("data"))).mapInArrow(run, f"id {kind}, height int, width int, tile binary, dhash string, error string").withColumnRenamed("id", id_col)
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_files: bool = False) -> DataFrame:
@@ -194,4 +196,4 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), *((pa.binary(),) * 2 if keep_files else ())]
     sql = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} {sql[t]}" for n, t in zip(names[1:], kinds, strict=True))])).withColumnRenamed("id", id_col)
+    return in_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, ", ".join([f"id {kind}", *(f"{n} {sql[t]}" for n, t in zip(names[1:], kinds, strict=True))])).withColumnRenamed("id", id_col)

@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import without, written
+from colloquy.llm.common import in_batches, without, written
 from colloquy.llm.graph import components
 from colloquy.llm.line_dedup import LAST
-from colloquy.llm.token_counts import portions
+from colloquy.llm.token_counts import byte_lengths, portions
 
 WORDS, KEPT = 5, 32
 #: Retained values of a union sketch that must be shared: 12 of 32. At a similarity of 0.75 fewer are for 5 pairs in a million.
 SHARED = 12
 #: Shingles and texts in a block.
 BLOCK_SHINGLES, BLOCK_TEXTS = 100_000, 250
-#: Characters whose shingles are computed at once; this bounds memory only.
+#: Bytes whose shingles are computed at once; this bounds memory only.
 AT_ONCE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -84,9 +84,8 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(2).to_pylist()
-        for part in portions(texts, AT_ONCE):
-            sets = shingle_sets(texts[part])
+        for part in portions(byte_lengths(b.column(2)), AT_ONCE):
+            sets = shingle_sets(b.column(2)[part].to_pylist())
             low = [s[:KEPT] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)[part], b.column(1)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in low], pa.list_(pa.int64()))],
@@ -97,9 +96,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the full set to rows whose last column is the text."""
     for b in batches:
-        texts = b.column(b.num_columns - 1).to_pylist()
-        for part in portions(texts, AT_ONCE):
-            yield pa.RecordBatch.from_arrays([*(c[part] for c in b.columns[:-1]), pa.array([s.tobytes() for s in shingle_sets(texts[part])], pa.binary())], [*b.schema.names[:-1], "set"])
+        texts = b.column(b.num_columns - 1)
+        for part in portions(byte_lengths(texts), AT_ONCE):
+            yield pa.RecordBatch.from_arrays([*(c[part] for c in b.columns[:-1]), pa.array([s.tobytes() for s in shingle_sets(texts[part].to_pylist())], pa.binary())], [*b.schema.names[:-1], "set"])
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -158,7 +157,7 @@ def _verified(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["doc", "root"])
 
         for b in batches:
-            for c, i, j, doc, block, content in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for c, i, j, doc, block, content in (row for part in portions(byte_lengths(b.column(5)), 8 * AT_ONCE) for row in zip(*(x[part].to_pylist() for x in b.columns), strict=True)):
                 if (c, i, j) != key:
                     ended()
                     key, rows = (c, i, j), []
@@ -185,7 +184,7 @@ def _blocks(shingles, texts):
 def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc, version, n, root) for each row of (doc, version, text): n is the size of its set, root the least doc that links
     lead to, itself included."""
-    sketched = written(docs.select("doc", "version", "text").mapInArrow(_sketched, "doc long, version long, n long, print binary, sketch array<long>"), "sketches")
+    sketched = written(in_batches(docs.select("doc", "version", "text")).mapInArrow(_sketched, "doc long, version long, n long, print binary, sketch array<long>"), "sketches")
     classes = sketched.where("n > 0").groupBy("print").agg(F.min(F.struct("doc", "version")).alias("rep"), F.min_by("sketch", F.struct("doc", "version")).alias("sketch"))
     reps = written(classes.select("print", "rep.doc", "rep.version", "sketch"), "classes")
     # Inverted lists. A member's place in a list is its id against the value's bits; first and last are the pivots.

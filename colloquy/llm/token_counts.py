@@ -13,11 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from colloquy.llm.common import in_batches
+
 MARK = "▁"
 NONE = np.int64(1) << 60
-#: Distinct pre-tokens a worker remembers, and characters it handles at once. Both bound memory only, not what is counted.
+#: Distinct pre-tokens a worker remembers, and bytes it handles at once. Both bound memory only, not what is counted.
 REMEMBERED, AT_ONCE = 300_000, 1 << 21
 
 
@@ -162,16 +165,20 @@ def _counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def portions(texts: list[str | None], at_once: int = AT_ONCE) -> Iterator[slice]:
-    """Slices of about at_once characters: the length of texts, not their number, bounds what is in memory."""
+def byte_lengths(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
+def portions(lengths: list[int], at_once: int = AT_ONCE) -> Iterator[slice]:
+    """Slices of about at_once bytes: the length of texts, not their number, bounds what Python holds of a batch."""
     start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t or "") > at_once:
+    for i, n in enumerate(lengths):
+        if held and held + n > at_once:
             yield slice(start, i)
             start, held = i, 0
-        held += len(t or "")
-    if start < len(texts):
-        yield slice(start, len(texts))
+        held += n
+    if start < len(lengths):
+        yield slice(start, len(lengths))
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,12 +191,11 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(model_path)
         for batch in batches:
-            texts, n = batch.column(1).to_pylist(), []
-            for part in portions(texts):
-                n += counter.count(texts[part])
-            size = [len(t.encode()) if t else 0 for t in texts]
+            size, n = byte_lengths(batch.column(1)), []
+            for part in portions(size):
+                n += counter.count(batch.column(1)[part].to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = in_batches(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

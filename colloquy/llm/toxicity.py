@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.token_counts import portions
+from colloquy.llm.common import in_batches
+from colloquy.llm.token_counts import byte_lengths, portions
 
 BITS = 20
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&@/\\-_=+~`^"
 #: Words a worker remembers; this bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def terms_of(word: str) -> tuple[int, ...]:
@@ -126,7 +127,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 5000,
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashed(t.as_py()).tobytes() for t in b.column(1)], pa.binary()), b.column(2).cast(pa.int32())], ["doc_id", "terms", "y"])
 
-    got = rows.mapInArrow(run, "doc_id long, terms binary, y int").toArrow()
+    got = in_batches(rows).mapInArrow(run, "doc_id long, terms binary, y int").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the same machine whatever order tasks end in
     terms, y = got.column("terms").to_pylist(), got.column("y").to_numpy()
     return fit([np.frombuffer(terms[i], np.int32) for i in order], y[order], seed=seed)
@@ -169,11 +170,11 @@ def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for b in batches:
-            texts = b.column(at).to_pylist()
-            score = np.concatenate([scorer(texts[p]) for p in portions(texts)]) if texts else np.zeros(0)
+            texts = b.column(at)
+            score = np.concatenate([np.zeros(0), *(scorer(texts[p].to_pylist()) for p in portions(byte_lengths(texts)))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     schema = StructType([*keep]).add("score", DoubleType()).add("predicted", IntegerType())
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return in_batches(docs.select(*[F.col(f"`{c}`") for c in names])).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import without, written
+from colloquy.llm.common import in_batches, without, written
 
 #: Headers of a 304 answer that may replace those of the stored response; all others stay as stored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -84,7 +84,7 @@ def read_warc(files: DataFrame, data_col: str = "data") -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], _COLUMNS)
 
-    return files.select(files[data_col].alias("data")).mapInArrow(run, RECORD)
+    return in_batches(files.select(files[data_col].alias("data"))).mapInArrow(run, RECORD)
 
 
 def warc_index(files: DataFrame, data_col: str = "data") -> DataFrame:
@@ -174,4 +174,4 @@ def pages_as_warc(pages: DataFrame, start: int = 1_700_000_000, step: int = 60)
                 out.append(first + again)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["data"])
 
-    return pages.where(F.col("page_id").isNotNull() & F.col("url").isNotNull()).select("page_id", "url", "html").mapInArrow(run, "data binary")
+    return pages.where(F.col("page_id").isNotNull() & F.col("url").isNotNull()).select("page_id", "url", "html").transform(in_batches).mapInArrow(run, "data binary")

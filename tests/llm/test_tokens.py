@@ -7,12 +7,13 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from colloquy.llm.chunk_bpe import UNUSUAL, bpe_decode, bpe_digests, bpe_encode, codec, cuts
-from colloquy.llm.token_counts import PieceCounter, portions, token_counts
+from colloquy.llm.token_counts import PieceCounter, byte_lengths, portions, token_counts
 
 ODD = [" ", "\n", "\t", "▁", "a", "b", "ab", "the", "ing", "<s>", "</s>", "<0x0A>", "é", "梦", "🙂", "\0", "\x85", "　", "'", "'ll", "l", "1", "२", "!", "<|endoftext|>", "<|end", "\U00010940", "՘", "ﬁ", "\r\n"]
 
@@ -52,9 +53,11 @@ def test_any_text_counts_as_in_the_library(text):
 
 
 def test_portions_cover_everything_once():
-    texts = ["x" * n for n in (5, 0, 9, 30, 1, 1)] + [None]
-    got = list(portions(texts, 10))
-    assert [t for s in got for t in texts[s]] == texts and list(portions([], 10)) == []
+    texts = pa.array(["x" * n for n in (5, 0, 9, 30, 1, 1)] + [None, "é"])
+    lengths = byte_lengths(texts)
+    assert lengths == [5, 0, 9, 30, 1, 1, 0, 2]
+    got = list(portions(lengths, 10))
+    assert [n for s in got for n in lengths[s]] == lengths and len(got) == 4 and list(portions([], 10)) == []
 
 
 def test_token_counts_of_rows(spark, sp):
