@@ -128,6 +128,27 @@ class ChunkCodec:
                 out += again
         return out
 
+    def learn(self, new: list[str]) -> None:
+        """Remembers the ids of pre-tokens. Words with a space before them are encoded as one text, which the library
+        splits at each of these spaces again; if it also splits elsewhere, there are more parts than words, and such a
+        batch goes one by one, as all else does."""
+        words, rest = [], []
+        for t in new:
+            (words if t[0] == " " and t[1:].isalpha() else rest).append(t)
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            e = self.lib.encode("".join(some), add_special_tokens=False)
+            word, ids = np.array(e.word_ids), np.array(e.ids, "<u4").tobytes()
+            at = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            ends = (4 * np.r_[at, len(word)]).tolist()
+            if len(at) == len(some):
+                self.ids.update((t, ids[a:b]) for t, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+            else:
+                rest += some
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            self.ids.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(some, self.lib.encode_batch(some, add_special_tokens=False), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         parts: list[list[str]] = []
@@ -140,9 +161,7 @@ class ChunkCodec:
             else:
                 parts.append(self.segment(t))
         new = list(set().union(*parts).difference(self.ids)) if parts else []
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.ids.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(some, self.lib.encode_batch(some, add_special_tokens=False), strict=True))
+        self.learn(new)
         get = self.ids.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
         if len(self.ids) > REMEMBERED:
