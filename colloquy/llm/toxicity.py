@@ -73,8 +73,9 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z_least: floa
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1)
         return FactorizationMachine(np.zeros(0, np.int32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
-    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    a, b = np.bincount(flat, y[of], 1 << BITS) + 0.5, np.bincount(flat, 1 - y[of], 1 << BITS) + 0.5
+    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    a = np.bincount(flat[(y == 1)[of]], minlength=1 << BITS) + 0.5
+    b = np.bincount(flat, minlength=1 << BITS) + 1 - a
     odds = np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))
     z = odds / np.sqrt(1 / a + 1 / b)
     ok = (a + b - 1 >= least) & (np.abs(z) >= z_least)
