@@ -13,7 +13,7 @@ _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 def normal(label: Column) -> Column:
     """Lower case, no white space at the ends, single spaces inside."""
-    return F.regexp_replace(F.regexp_replace(F.lower(label), _SPACE, " "), "^ | $", "")
+    return F.trim(F.regexp_replace(F.lower(label), _SPACE, " "))
 
 
 def stripped(text: Column) -> Column:

@@ -23,11 +23,16 @@ def label_mentions(edges: DataFrame, stances: DataFrame | None = None, order: st
     return e.union(stances.select(F.col("concept_label"), F.col("concept_type"), F.struct(F.lit(1).alias("part"), F.col(stance_order).alias("record"), F.lit(0).alias("end"))))
 
 
+def _surface_forms(mentions: DataFrame) -> DataFrame:
+    """(label, type, n, place): distinct surface forms, so that what follows is done once for each and not for each mention."""
+    return mentions.groupBy("label", "type").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
+
+
 def candidates(mentions: DataFrame) -> DataFrame:
     """(norm, label, type, mentions): the first surface form, and the type most often given (of equal ones the first).
     Labels that name a speaker are left out, tested as they stand."""
-    m = mentions.where((F.col("label") != "") & ~is_speaker_label(F.col("label"))).withColumn("norm", normal(F.col("label"))).where("norm != ''")
-    by_type = m.groupBy("norm", "type").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"), F.min_by("label", "place").alias("label"))
+    m = _surface_forms(mentions).where((F.col("label") != "") & ~is_speaker_label(F.col("label"))).withColumn("norm", normal(F.col("label"))).where("norm != ''")
+    by_type = m.groupBy("norm", "type").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.min_by("label", "place").alias("label"))
     best = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("n"), "place"))
     first = Window.partitionBy("norm")
     out = by_type.withColumn("rank", best).withColumn("label", stripped(F.min_by("label", "place").over(first))).withColumn("mentions", F.sum("n").over(first))
@@ -36,8 +41,8 @@ def candidates(mentions: DataFrame) -> DataFrame:
 
 def collected_mentions(mentions: DataFrame) -> DataFrame:
     """(norm, label, type, mentions) with the first label and the first type; speaker labels stay."""
-    m = mentions.withColumn("norm", normal(F.col("label"))).where("norm != ''")
-    return m.groupBy("norm").agg(stripped(F.min_by("label", "place")).alias("label"), F.min_by("type", "place").alias("type"), F.count(F.lit(1)).alias("mentions"))
+    m = _surface_forms(mentions).withColumn("norm", normal(F.col("label"))).where("norm != ''")
+    return m.groupBy("norm").agg(stripped(F.min_by("label", "place")).alias("label"), F.min_by("type", "place").alias("type"), F.sum("n").alias("mentions"))
 
 
 def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
