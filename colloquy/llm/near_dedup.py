@@ -3,11 +3,13 @@
 1. Every text becomes the set of 64-bit hashes of its shingles; its sketch is the k least of them. Texts with equal sets
    are one class from here on, represented by the least id.
 2. Inverted lists of the retained values: each list pairs its members with two of them, chosen by the value itself, so a
-   list of any length gives two pairs a member, and texts that share many values meet in many lists under different
-   pivots.
+   list of any length gives two pairs a member. All pairs of a list of three are among these.
 3. The union sketch of a pair estimates its similarity; pairs far below the threshold go. Components of what is left
-   are clusters: texts of different clusters are not alike.
-4. Inside a cluster exact Jaccard similarities of full sets decide. Clusters are cut into blocks of bounded size;
+   are clusters.
+4. Longer lists whose members are in several clusters may hide pairs whose pivots resemble neither. Texts with as many
+   values in such lists as a link takes meet again in bands of minima over their full sets, all pairs of a band by their
+   union sketches; that joins clusters until texts of different ones are not alike.
+5. Inside a cluster exact Jaccard similarities of full sets decide. Clusters are cut into blocks of bounded size;
    first each block meets itself and the first block, then blocks meet each other unless they are known to be one
    component already.
 """
@@ -31,6 +33,10 @@ from colloquy.llm.token_counts import byte_lengths, portions
 WORDS, KEPT = 5, 32
 #: Retained values of a union sketch that must be shared: 12 of 32. At a similarity of 0.75 fewer are for 5 pairs in a million.
 SHARED = 12
+#: Minima in a band, and bands: two texts at 0.75 share no band in 2 cases in a million, (1 - 0.75 ** 5) ** 48.
+ROWS, BANDS = 5, 48
+#: Texts of a band that are compared at once; this bounds memory only.
+BAND_BLOCK = 500
 #: Shingles and texts in a block.
 BLOCK_SHINGLES, BLOCK_TEXTS = 100_000, 250
 #: Bytes whose shingles are computed at once; this bounds memory only.
@@ -177,6 +183,99 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*key, "doc", "block", "set").repartition(*key).sortWithinPartitions(*key, "doc").mapInArrow(_verified(percent), "doc long, root long")
 
 
+def _bands(rows: int):
+    """Rows of (doc, cluster, sketch, text): gives (key, doc, cluster, sketch) for each band of the text's set."""
+    scale = np.random.default_rng(0).integers(0, 1 << 63, (BANDS, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in portions(byte_lengths(b.column(3)), AT_ONCE):
+                sets = shingle_sets(b.column(3)[part].to_pylist())
+                values, starts = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
+                keys = np.empty((len(sets), BANDS), np.uint64)
+                for k in range(BANDS):
+                    key = np.full(len(sets), k, np.uint64)
+                    for f in scale[k]:
+                        key = _mix(key * _P + np.minimum.reduceat(values * f, starts))
+                    keys[:, k] = key
+                yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), b.column(2)[part]], ["doc", "cluster", "keys", "sketch"])
+
+    return run
+
+
+def sketches_alike(sets: list[np.ndarray], shared: int) -> np.ndarray:
+    """For each pair of ascending sketches whether so many of the 32 values of their union sketch, or that share of a
+    smaller one, are shared."""
+    n, both = np.array([len(s) for s in sets]), intersections(sets)
+    ok = both * KEPT >= shared * np.minimum(KEPT, n[:, None] + n[None, :] - both)
+    # What passes has enough values in common anywhere; those of the union sketch decide.
+    a, b = np.nonzero(np.triu(ok, 1))
+    wide = np.full((len(sets), KEPT), np.iinfo(np.uint64).max)
+    for row, s in zip(wide, sets, strict=True):
+        row[: len(s)] = s
+    for at in range(0, len(a), 10_000):
+        x, y = a[at : at + 10_000], b[at : at + 10_000]
+        union = np.sort(np.concatenate([wide[x], wide[y]], 1), 1)
+        again = union[:, 1:] == union[:, :-1]
+        rank = np.cumsum(np.concatenate([np.ones((len(x), 1), int), ~again], 1), 1)
+        real = np.minimum(KEPT, n[x] + n[y] - both[x, y])
+        hits = (again & (rank[:, 1:] <= real[:, None])).sum(1)
+        ok[x, y] = ok[y, x] = hits * KEPT >= shared * real
+    return ok
+
+
+def _met(shared: int):
+    """Rows sorted by (key, i, j): gives (a, b), links of sketches in a band as stars."""
+
+    def links(rows: list[tuple[int, int, bytes]], i: int, j: int) -> list[tuple[int, int]]:
+        side = np.array([r[1] for r in rows])
+        ok = sketches_alike([np.array(r[2], np.int64).view(np.uint64) for r in rows], shared)
+        if i != j:
+            ok &= side[:, None] != side[None, :]
+        return [(rows[k][0], rows[r][0]) for k, r in enumerate(stars(ok)) if rows[k][0] != rows[r][0]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1 and (out := links(rows, now[1], now[2])):
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for key, i, j, doc, block, sketch in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (key, i, j) != now:
+                    yield from ended()
+                    now, rows = (key, i, j), []
+                rows.append((doc, block, sketch))
+        yield from ended()
+
+    return run
+
+
+def _hidden(docs: DataFrame, reps: DataFrame, entries: DataFrame, lists: DataFrame, clusters: DataFrame, shared: int, rows: int) -> DataFrame | None:
+    """(a, b): links between clusters that the pivots of long lists may not show; None if no text can have one.
+
+    Two alike texts of different clusters have all their common values in lists of more than three members and of more
+    than one cluster, or a pivot would have joined them."""
+    held = entries.join(lists.where("members > 3").select("v"), "v").join(clusters.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", "v", F.coalesce("root", "doc").alias("cluster"))
+    held = written(held, "held")
+    mixed = held.groupBy("v").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low != high").select("v")
+    rest = held.join(mixed, "v").groupBy("doc", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    rest = written(rest.join(reps, "doc").where(F.col("n") * KEPT >= shared * F.size("sketch")).select("doc", "version", "cluster", "sketch"), "rest")
+    if rest.isEmpty():
+        return None
+    text = rest.join(docs.select("doc", "version", "text"), ["doc", "version"]).select("doc", "cluster", "sketch", "text")
+    banded = written(text.mapInArrow(_bands(rows), "doc long, cluster long, keys array<long>, sketch array<long>"), "bands")
+    met = banded.select("doc", "cluster", F.explode("keys").alias("key"))
+    keys = met.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.ceil(F.count(F.lit(1)) / BAND_BLOCK).cast("int").alias("ways")).where("low != high").select("key", "ways")
+    member = written(met.join(keys, "key").select("key", "ways", "doc").distinct(), "band-members").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("ways")).cast("int"))
+    # A block meets all blocks of its band, itself included.
+    other = F.explode(F.sequence(F.lit(0), F.col("ways") - 1))
+    tasks = member.select("*", other.alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "block")
+    tasks = tasks.join(banded.select("doc", "sketch").distinct(), "doc").select("key", "i", "j", "doc", "block", "sketch")
+    return written(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(_met(shared), "a long, b long").distinct(), "hidden")
+
+
 def _blocks(shingles, texts):
     return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(texts / BLOCK_TEXTS), F.lit(1)).cast("int")
 
@@ -189,7 +288,7 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = written(classes.select("print", "rep.doc", "rep.version", "sketch"), "classes")
     # Inverted lists. A member's place in a list is its id against the value's bits; first and last are the pivots.
     entries = reps.select("doc", F.explode("sketch").alias("v"))
-    lists = entries.groupBy("v").agg(F.min(F.col("doc").bitwiseXOR(F.col("v"))).alias("p"), F.max(F.col("doc").bitwiseXOR(F.col("v"))).alias("q")).where("p != q")
+    lists = written(entries.groupBy("v").agg(F.min(F.col("doc").bitwiseXOR(F.col("v"))).alias("p"), F.max(F.col("doc").bitwiseXOR(F.col("v"))).alias("q"), F.count(F.lit(1)).alias("members")).where("p != q"), "lists")
     met = entries.join(lists, "v").select("doc", F.explode(F.array(F.col("p").bitwiseXOR(F.col("v")), F.col("q").bitwiseXOR(F.col("v")))).alias("pivot")).where("doc != pivot")
     pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
     # Only the upper halves of retained values travel with pairs.
@@ -198,6 +297,9 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEPT)
     alike = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) * KEPT >= SHARED * F.size(union)
     clusters = components(written(pairs.where(alike).select("a", "b"), "alike"))
+    hidden = _hidden(docs, reps, entries, lists, clusters, SHARED, ROWS)
+    if hidden is not None:
+        clusters = components(clusters.union(hidden))
     members = clusters.union(clusters.select("root", "root").distinct()).toDF("doc", "cluster")
     nodes = members.join(reps.select("print", "doc", "version"), "doc").join(sketched.select("print", "doc", "version", "n"), ["print", "doc", "version"]).distinct()
     sizes = nodes.groupBy("cluster").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"))

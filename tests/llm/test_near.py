@@ -81,6 +81,41 @@ def test_near_dedup_against_brute_force(spark, monkeypatch, blocks):
     assert found(N.near_dedup(df).drop("other")) == brute(rows)
 
 
+def common_passages(n=6000, copies=60, seed=7):
+    """Texts of twelve of 300 passages each, and near copies of some. The same four words stand between passages, so that
+    every shingle but those of a changed word is in some 240 texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    pool = [[word() for _ in range(20)] + "and then it goes".split() for _ in range(300)]
+    texts = [[w for p in rng.sample(pool, 12) for w in p] for _ in range(n)]
+    ids = rng.sample(range(1 << 20), n + copies)  # in no order, as the pivots go by the bits of ids
+    rows, pairs = list(zip(ids, texts, strict=False)), []
+    for new, (k, w) in zip(ids[n:], rng.sample(rows, copies), strict=True):
+        rows.append((new, [*w[:-1], word()]))
+        pairs.append((k, new))
+    return [(k, " ".join(w)) for k, w in rows], pairs
+
+
+@pytest.mark.parametrize("block", [500, 3])
+def test_near_copies_of_texts_of_common_passages_alone(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BAND_BLOCK", block)
+    rows, pairs = common_passages() if block == 500 else common_passages(2000, 20)
+    got = found(N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [p for p in pairs if got[p[0]][1] != got[p[1]][1]] == []
+    assert len({c for _, c in got.values()}) == len(rows) - len(pairs)  # nothing else is linked
+
+
+def test_union_sketches_by_blocks():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(np.arange(1, 60, dtype=np.uint64), rng.integers(1, 50)))[: N.KEPT] for _ in range(80)]
+    got = N.sketches_alike(sets, 12)
+    for a in range(80):
+        for b in range(a + 1, 80):
+            union = np.union1d(sets[a], sets[b])[: N.KEPT]
+            want = len(np.intersect1d(union, np.intersect1d(sets[a], sets[b]))) * N.KEPT >= 12 * len(union)
+            assert got[a, b] == got[b, a] == want
+
+
 def test_query_against_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     assert found(QUERIES["op3_near_dedup"](spark, SMALL)) == brute([tuple(r) for r in docs])
