@@ -1,6 +1,6 @@
 """Near-duplicates of embeddings by iterative quantisation and multi-index Hamming tables.
 
-1. Rotations learned on a bounded sample turn each vector into a binary code whose bits are balanced and keep angles.
+1. Rotations learned on a bounded sample turn each vector into a binary code whose bits keep angles.
 2. Vectors so close to a leader that they must be linked among each other (half the angle of a link) form a class with it.
    A class's own links need no enumeration, however many copies it has.
 3. Hamming tables: the code is cut into substrings; vectors meet where a substring differs by at most one bit. A table
@@ -37,15 +37,16 @@ def table_recall(cosine: float, bits: int = BITS, tables: int = TABLES) -> float
 
 @dataclass
 class Quantiser:
-    """Codes are the signs of the centred unit vector in learned rotations."""
+    """Codes are the signs of the unit vector in learned rotations. Rotations are learned on centred vectors, but what is
+    coded is not centred: bits must differ by the angle that the cosine of a link gives, and centring widens it."""
 
-    mean: np.ndarray
+    mean: np.ndarray  # of the sample
     axes: np.ndarray  # dimension x bits of a code
     bits: int = BITS
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """(n, tables) substrings as int32."""
-        bits = (unit - self.mean) @ self.axes >= 0
+        bits = unit @ self.axes >= 0
         return (bits.reshape(len(unit), -1, self.bits) << np.arange(self.bits)).sum(2).astype(np.int32)
 
 

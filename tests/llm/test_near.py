@@ -10,7 +10,7 @@ import pytest
 from conftest import SMALL
 
 from colloquy.llm import near_dedup as N
-from colloquy.llm.embedding_dedup import embedding_dedup, fit_quantiser, table_recall
+from colloquy.llm.embedding_dedup import _near_bits, embedding_dedup, fit_quantiser, table_recall
 from colloquy.llm.graph import components
 from colloquy.llm.queries import QUERIES
 
@@ -206,6 +206,27 @@ def test_codes_are_balanced_and_near_vectors_have_near_codes():
     assert near < 20 < (bits[:1500] != bits[1500:]).sum(1).mean()
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7, 0.8])
+def test_vectors_with_a_common_direction_meet(common):
+    """Pairs at a cosine of 0.9 and more, all of whose vectors share a direction of that norm."""
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    shared = unit(rng.normal(size=(1, 64)))
+    x = unit(common * shared + np.sqrt(1 - common**2) * unit(rng.normal(size=(2000, 64))))
+    q = fit_quantiser(x)
+    for cosine in (0.9, 0.92, 0.95):
+        # The other vector of a pair, at that cosine, with a common component of the same size.
+        side = rng.normal(size=x.shape)
+        side -= (side * x).sum(1, keepdims=True) * x
+        side = unit(unit(side) * np.sqrt(1 - common**2) + common * unit(shared - (x @ shared.T) * x))
+        side -= (side * x).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * unit(side)
+        apart = np.bitwise_count(q.codes(x) ^ q.codes(y))
+        met = (apart.min(1) <= 1) & (apart.sum(1) <= _near_bits(np.arccos(cosine), 128))
+        print("mean", common, "cosine", cosine, "found", met.mean())
+        assert met.mean() >= table_recall(cosine) - 0.03
+
+
 def test_other_tables_find_the_same_groups(spark):
     rows = near_vectors()[:500]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
