@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,8 @@ from colloquy.llm.line_dedup import LAST
 from colloquy.llm.token_counts import byte_lengths, portions
 
 WORDS, KEPT = 5, 32
-#: Retained values of a union sketch that must be shared: 12 of 32. At a similarity of 0.75 fewer are for 5 pairs in a million.
-SHARED = 12
-#: Minima in a band, and bands: two texts at 0.75 share no band in 2 cases in a million, (1 - 0.75 ** 5) ** 48.
-ROWS, BANDS = 5, 48
+#: Pairs at the threshold that a filter may lose, and bands of minima.
+LOST, BANDS = 5e-6, 48
 #: Texts of a band that are compared at once; this bounds memory only.
 BAND_BLOCK = 500
 #: Shingles and texts in a block.
@@ -45,6 +44,19 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def shared_least(percent: int) -> int:
+    """Retained values of a union sketch that must be shared, by the binomial: 12 of 32 at 75, fewer are for at most 5 pairs in a million."""
+    p, below, s = percent / 100, 0.0, 0
+    while s < KEPT and (below := below + comb(KEPT, s) * p**s * (1 - p) ** (KEPT - s)) <= LOST:
+        s += 1
+    return s
+
+
+def band_rows(percent: int) -> int:
+    """Minima in a band: 5 at 75, where two texts share none of 48 bands in 2 cases in a million."""
+    return max([r for r in range(1, 6) if (1 - (percent / 100) ** r) ** BANDS <= LOST], default=1)
+
+
 @lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _P), np.full(n, _P_INV)
@@ -283,6 +295,7 @@ def _blocks(shingles, texts):
 def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc, version, n, root) for each row of (doc, version, text): n is the size of its set, root the least doc that links
     lead to, itself included."""
+    shared = shared_least(percent)
     sketched = written(in_batches(docs.select("doc", "version", "text")).mapInArrow(_sketched, "doc long, version long, n long, print binary, sketch array<long>"), "sketches")
     classes = sketched.where("n > 0").groupBy("print").agg(F.min(F.struct("doc", "version")).alias("rep"), F.min_by("sketch", F.struct("doc", "version")).alias("sketch"))
     reps = written(classes.select("print", "rep.doc", "rep.version", "sketch"), "classes")
@@ -295,9 +308,9 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     short = reps.select("doc", F.transform("sketch", lambda v: (F.shiftrightunsigned(v, 32) - F.lit(1 << 31)).cast("int")).alias("s"))
     pairs = pairs.join(short.withColumnsRenamed({"doc": "a", "s": "sa"}), "a").join(short.withColumnsRenamed({"doc": "b", "s": "sb"}), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEPT)
-    alike = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) * KEPT >= SHARED * F.size(union)
+    alike = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) * KEPT >= shared * F.size(union)
     clusters = components(written(pairs.where(alike).select("a", "b"), "alike"))
-    hidden = _hidden(docs, reps, entries, lists, clusters, SHARED, ROWS)
+    hidden = _hidden(docs, reps, entries, lists, clusters, shared, band_rows(percent))
     if hidden is not None:
         clusters = components(clusters.union(hidden))
     members = clusters.union(clusters.select("root", "root").distinct()).toDF("doc", "cluster")

@@ -105,6 +105,12 @@ def test_near_copies_of_texts_of_common_passages_alone(spark, monkeypatch, block
     assert len({c for _, c in got.values()}) == len(rows) - len(pairs)  # nothing else is linked
 
 
+def test_filters_go_by_percent():
+    assert (N.shared_least(75), N.band_rows(75)) == (12, 5)
+    assert N.shared_least(100) == N.KEPT and N.shared_least(40) < N.shared_least(50) < 12
+    assert all((1 - (p / 100) ** N.band_rows(p)) ** N.BANDS <= N.LOST for p in range(25, 101))
+
+
 def test_union_sketches_by_blocks():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.choice(np.arange(1, 60, dtype=np.uint64), rng.integers(1, 50)))[: N.KEPT] for _ in range(80)]
