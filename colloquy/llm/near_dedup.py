@@ -2,16 +2,17 @@
 
 1. Every text becomes the set of 64-bit hashes of its shingles; its sketch is the k least of them. Texts with equal sets
    are one class from here on, represented by the least id.
-2. Inverted lists of the retained values: each list pairs its members with two of them, chosen by the value itself, so a
-   list of any length gives two pairs a member. All pairs of a list of three are among these.
+2. Inverted lists of the retained values generate overlaps. A list of up to SHORT members gives all its pairs, which are
+   counted over lists; a pair whose count, with the values that may be in longer lists, is too small for a link goes. A
+   longer list pairs its members with two of them, chosen by the value itself: that finds large groups of near copies.
 3. The union sketch of a pair estimates its similarity; pairs far below the threshold go. Components of what is left
    are clusters.
-4. Longer lists whose members are in several clusters may hide pairs whose pivots resemble neither. Texts with as many
-   values in such lists as a link takes meet again in bands of minima over their full sets, all pairs of a band by their
-   union sketches; that joins clusters until texts of different ones are not alike.
-5. Inside a cluster exact Jaccard similarities of full sets decide. Clusters are cut into blocks of bounded size;
-   first each block meets itself and the first block, then blocks meet each other unless they are known to be one
-   component already.
+4. A link between clusters can be hidden only where all values that two texts share are in long lists. Texts with as many
+   values in long lists of several clusters as a link takes meet again in bands of minima over their full sets; texts of
+   a band that are in different clusters are compared by their union sketches.
+5. Inside a cluster exact Jaccard similarities of full sets decide. Clusters are cut into blocks of bounded size; each
+   block meets itself and the first block. What is then still in several components of a large cluster meets by the
+   rarest shingles of full sets: two texts that are linked share one of the rarest quarter of either.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import in_batches, without, written
+from colloquy.llm.common import discard, in_batches, without, written
 from colloquy.llm.graph import components
 from colloquy.llm.line_dedup import LAST
 from colloquy.llm.token_counts import byte_lengths, portions
@@ -34,6 +35,8 @@ from colloquy.llm.token_counts import byte_lengths, portions
 WORDS, KEPT = 5, 32
 #: Pairs at the threshold that a filter may lose, and bands of minima.
 LOST, BANDS = 5e-6, 48
+#: Members of a list that gives all its pairs.
+SHORT = 16
 #: Texts of a band that are compared at once; this bounds memory only.
 BAND_BLOCK = 500
 #: Shingles and texts in a block.
@@ -215,77 +218,83 @@ def _bands(rows: int):
     return run
 
 
-def sketches_alike(sets: list[np.ndarray], shared: int) -> np.ndarray:
-    """For each pair of ascending sketches whether so many of the 32 values of their union sketch, or that share of a
-    smaller one, are shared."""
-    n, both = np.array([len(s) for s in sets]), intersections(sets)
-    ok = both * KEPT >= shared * np.minimum(KEPT, n[:, None] + n[None, :] - both)
+def sketches_alike(left: list[np.ndarray], right: list[np.ndarray], shared: int) -> np.ndarray:
+    """For each pair of ascending sketches, one of either side, whether so many of the 32 values of their union sketch, or
+    that share of a smaller one, are shared."""
+    sets, m = [*left, *right], len(left)
+    n, both = np.array([len(s) for s in sets]), intersections(sets)[:m, m:]
+    ok = both * KEPT >= shared * np.minimum(KEPT, n[:m, None] + n[None, m:] - both)
     # What passes has enough values in common anywhere; those of the union sketch decide.
-    a, b = np.nonzero(np.triu(ok, 1))
+    a, b = np.nonzero(ok)
     wide = np.full((len(sets), KEPT), np.iinfo(np.uint64).max)
     for row, s in zip(wide, sets, strict=True):
         row[: len(s)] = s
     for at in range(0, len(a), 10_000):
         x, y = a[at : at + 10_000], b[at : at + 10_000]
-        union = np.sort(np.concatenate([wide[x], wide[y]], 1), 1)
+        union = np.sort(np.concatenate([wide[x], wide[m + y]], 1), 1)
         again = union[:, 1:] == union[:, :-1]
         rank = np.cumsum(np.concatenate([np.ones((len(x), 1), int), ~again], 1), 1)
-        real = np.minimum(KEPT, n[x] + n[y] - both[x, y])
+        real = np.minimum(KEPT, n[x] + n[m + y] - both[x, y])
         hits = (again & (rank[:, 1:] <= real[:, None])).sum(1)
-        ok[x, y] = ok[y, x] = hits * KEPT >= shared * real
+        ok[x, y] = hits * KEPT >= shared * real
     return ok
 
 
 def _met(shared: int):
-    """Rows sorted by (key, i, j): gives (a, b), links of sketches in a band as stars."""
-
-    def links(rows: list[tuple[int, int, bytes]], i: int, j: int) -> list[tuple[int, int]]:
-        side = np.array([r[1] for r in rows])
-        ok = sketches_alike([np.array(r[2], np.int64).view(np.uint64) for r in rows], shared)
-        if i != j:
-            ok &= side[:, None] != side[None, :]
-        return [(rows[k][0], rows[r][0]) for k, r in enumerate(stars(ok)) if rows[k][0] != rows[r][0]]
+    """Rows sorted by (key, i, j, side): gives (a, b), links of sketches of different clusters in a band as stars."""
+
+    def links(rows: list[tuple[int, int, int, list[int]]]) -> list[tuple[int, int]]:
+        m = sum(1 - r[0] for r in rows)
+        if not 0 < m < len(rows):
+            return []
+        cluster = np.array([r[2] for r in rows])
+        sets = [np.array(r[3], np.int64).view(np.uint64) for r in rows]
+        ok = np.zeros((len(rows), len(rows)), bool)
+        ok[:m, m:] = sketches_alike(sets[:m], sets[m:], shared) & (cluster[:m, None] != cluster[None, m:])
+        return [(rows[k][1], rows[r][1]) for k, r in enumerate(stars(ok | ok.T)) if rows[k][1] != rows[r][1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def ended() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1 and (out := links(rows, now[1], now[2])):
+            if out := links(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for key, i, j, doc, block, sketch in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for key, i, j, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (key, i, j) != now:
                     yield from ended()
                     now, rows = (key, i, j), []
-                rows.append((doc, block, sketch))
+                rows.append(tuple(row))
         yield from ended()
 
     return run
 
 
-def _hidden(docs: DataFrame, reps: DataFrame, entries: DataFrame, lists: DataFrame, clusters: DataFrame, shared: int, rows: int) -> DataFrame | None:
+def _hidden(docs: DataFrame, reps: DataFrame, long: DataFrame, clusters: DataFrame, shared: int, rows: int) -> DataFrame | None:
     """(a, b): links between clusters that the pivots of long lists may not show; None if no text can have one.
 
-    Two alike texts of different clusters have all their common values in lists of more than three members and of more
-    than one cluster, or a pivot would have joined them."""
-    held = entries.join(lists.where("members > 3").select("v"), "v").join(clusters.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", "v", F.coalesce("root", "doc").alias("cluster"))
-    held = written(held, "held")
+    long has (doc, v) for the values in long lists. Two alike texts of different clusters share no value of a short list,
+    whose pairs are all seen, so all their common values are in long lists of more than one cluster."""
+    held = written(long.join(clusters.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", "v", F.coalesce("root", "doc").alias("cluster")), "held")
     mixed = held.groupBy("v").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low != high").select("v")
     rest = held.join(mixed, "v").groupBy("doc", "cluster").agg(F.count(F.lit(1)).alias("n"))
     rest = written(rest.join(reps, "doc").where(F.col("n") * KEPT >= shared * F.size("sketch")).select("doc", "version", "cluster", "sketch"), "rest")
+    discard(held)
     if rest.isEmpty():
         return None
     text = rest.join(docs.select("doc", "version", "text"), ["doc", "version"]).select("doc", "cluster", "sketch", "text")
-    banded = written(text.mapInArrow(_bands(rows), "doc long, cluster long, keys array<long>, sketch array<long>"), "bands")
+    banded = written(text.mapInArrow(_bands(rows), "doc long, cluster long, keys array<long>, sketch array<long>"), "bands").dropDuplicates(["doc"])
     met = banded.select("doc", "cluster", F.explode("keys").alias("key"))
-    keys = met.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.ceil(F.count(F.lit(1)) / BAND_BLOCK).cast("int").alias("ways")).where("low != high").select("key", "ways")
-    member = written(met.join(keys, "key").select("key", "ways", "doc").distinct(), "band-members").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("ways")).cast("int"))
-    # A block meets all blocks of its band, itself included.
-    other = F.explode(F.sequence(F.lit(0), F.col("ways") - 1))
-    tasks = member.select("*", other.alias("other")).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "block")
-    tasks = tasks.join(banded.select("doc", "sketch").distinct(), "doc").select("key", "i", "j", "doc", "block", "sketch")
-    return written(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc").mapInArrow(_met(shared), "a long, b long").distinct(), "hidden")
+    # Texts outside a band's largest cluster meet all of the band, so a large group of near copies is not compared with itself.
+    keys = met.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("large"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
+    ways = lambda n: F.ceil(n / BAND_BLOCK).cast("int")
+    member = written(met.join(keys, "key").select("key", "doc", F.col("cluster") != F.col("large"), ways(F.col("all") - F.col("most")), ways(F.col("all"))).toDF("key", "doc", "few", "lefts", "rights"), "band-members")
+    block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tasks = member.where("few").select("key", block("lefts").alias("i"), each("rights").alias("j"), F.lit(0).alias("side"), "doc").union(member.select("key", each("lefts").alias("i"), block("rights"), F.lit(1), "doc"))
+    tasks = tasks.join(banded.select("doc", "cluster", "sketch"), "doc").select("key", "i", "j", "side", "doc", "cluster", "sketch")
+    return written(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc").mapInArrow(_met(shared), "a long, b long").distinct(), "hidden")
 
 
 def _blocks(shingles, texts):
@@ -299,18 +308,20 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketched = written(in_batches(docs.select("doc", "version", "text")).mapInArrow(_sketched, "doc long, version long, n long, print binary, sketch array<long>"), "sketches")
     classes = sketched.where("n > 0").groupBy("print").agg(F.min(F.struct("doc", "version")).alias("rep"), F.min_by("sketch", F.struct("doc", "version")).alias("sketch"))
     reps = written(classes.select("print", "rep.doc", "rep.version", "sketch"), "classes")
-    # Inverted lists. A member's place in a list is its id against the value's bits; first and last are the pivots.
-    entries = reps.select("doc", F.explode("sketch").alias("v"))
-    lists = written(entries.groupBy("v").agg(F.min(F.col("doc").bitwiseXOR(F.col("v"))).alias("p"), F.max(F.col("doc").bitwiseXOR(F.col("v"))).alias("q"), F.count(F.lit(1)).alias("members")).where("p != q"), "lists")
-    met = entries.join(lists, "v").select("doc", F.explode(F.array(F.col("p").bitwiseXOR(F.col("v")), F.col("q").bitwiseXOR(F.col("v")))).alias("pivot")).where("doc != pivot")
-    pairs = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+    entries = reps.select("doc", F.explode("sketch").alias("v"), F.size("sketch").alias("size"))
+    # A member's place in a list is its id against the value's bits; first and last are the pivots of long lists.
+    lists = entries.groupBy("v").agg(F.min(F.col("doc").bitwiseXOR(F.col("v"))).alias("p"), F.max(F.col("doc").bitwiseXOR(F.col("v"))).alias("q"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    listed = written(entries.join(lists, "v"), "lists")
+    long = listed.where(F.col("members") > SHORT)
+    pivots = long.select("doc", F.explode(F.array(F.col("p").bitwiseXOR(F.col("v")), F.col("q").bitwiseXOR(F.col("v")))).alias("pivot")).where("doc != pivot")
+    pairs = written(pivots.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).union(_overlapping(listed, shared)).distinct(), "pairs")
     # Only the upper halves of retained values travel with pairs.
     short = reps.select("doc", F.transform("sketch", lambda v: (F.shiftrightunsigned(v, 32) - F.lit(1 << 31)).cast("int")).alias("s"))
     pairs = pairs.join(short.withColumnsRenamed({"doc": "a", "s": "sa"}), "a").join(short.withColumnsRenamed({"doc": "b", "s": "sb"}), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEPT)
     alike = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) * KEPT >= shared * F.size(union)
     clusters = components(written(pairs.where(alike).select("a", "b"), "alike"))
-    hidden = _hidden(docs, reps, entries, lists, clusters, shared, band_rows(percent))
+    hidden = _hidden(docs, reps, long.select("doc", "v"), clusters, shared, band_rows(percent))
     if hidden is not None:
         clusters = components(clusters.union(hidden))
     members = clusters.union(clusters.select("root", "root").distinct()).toDF("doc", "cluster")
@@ -328,28 +339,72 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     tasks = sets.withColumn("task", F.explode(F.concat(own, hub))).select("cluster", "task.i", "task.j", "doc", "block", "set")
     found = components(written(_compared(tasks, percent), "links"))
     if large:
-        found = components(found.union(written(_rest(sets.where("blocks > 1"), found, percent), "links")))
+        rest = _rest(sets.where("blocks > 1"), found, percent)
+        found = found if rest is None else components(found.union(rest))
     roots = reps.select("print", F.col("doc").alias("rep")).join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select("print", F.coalesce("root", "rep").alias("root"))
     return sketched.join(roots, "print", "left").select("doc", "version", "n", F.coalesce("root", "doc").alias("root"))
 
 
-def _rest(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """What is left of clusters of several blocks: blocks are made anew, each of one component or of several small ones;
-    all pairs of blocks of a cluster are compared but for those of one component."""
+def _overlapping(listed: DataFrame, shared: int) -> DataFrame:
+    """(a, b): pairs that share enough retained values, those in short lists counted, those in long ones taken as shared."""
+    some = listed.where(F.col("members") <= SHORT).groupBy("v").agg(F.collect_list(F.struct("doc", "size")).alias("docs"))
+    some = some.select("docs", F.explode("docs").alias("a")).select("a", F.explode(F.filter("docs", lambda x: x["doc"] > F.col("a.doc"))).alias("b"))
+    pairs = some.groupBy(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("a.size", "b.size")).alias("size"))
+    more = listed.where(F.col("members") > SHORT).groupBy("doc").agg(F.count(F.lit(1)).alias("more"))
+    pairs = pairs.join(more.toDF("a", "more_a"), "a", "left").join(more.toDF("b", "more_b"), "b", "left")
+    # The union sketch holds at least as many values as the larger sketch.
+    most = F.col("n") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    return pairs.where(most * KEPT >= shared * F.col("size")).select("a", "b")
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is a set, with the set as an array."""
+    for b in batches:
+        for part in portions(byte_lengths(b.column(b.num_columns - 1)), 4 * AT_ONCE):
+            sets = [np.frombuffer(x, np.int64) for x in b.column(b.num_columns - 1)[part].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(c[part] for c in b.columns[:-1]), pa.array(sets, pa.list_(pa.int64()))], [*b.schema.names[:-1], "vs"])
+
+
+def _linked(percent: int):
+    """Rows of (a, b, set of a, set of b): gives (node, root) of those that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            kept = b.filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["node", "root"])
+
+    return run
+
+
+def _rest(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root): links between the components that are left in clusters of several blocks; None where one is left.
+
+    Shingles that only one component has can't be shared by two; the others are put in order, rarest first. A link takes
+    percent of a set at least, so two linked sets share one of the first ones that go beyond that: these alone are
+    listed. Texts outside a cluster's largest component meet what shares such a shingle."""
     s = sets.join(found.withColumnsRenamed({"node": "doc", "root": "part"}), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
-    s = s.select("doc", "cluster", "part", "n", "set")
-    parts = s.groupBy("cluster", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    parts = parts.withColumn("pure", (F.col("n") > BLOCK_SHINGLES / 2) | (F.col("texts") > BLOCK_TEXTS / 2))
-    mixed = parts.where("not pure").groupBy("cluster").agg(_blocks(F.sum("n"), F.sum("texts")).alias("mixed"))
-    parts = written(parts.join(mixed, "cluster", "left").select("cluster", "part", "pure", F.when(F.col("pure"), _blocks(F.col("n"), F.col("texts"))).otherwise(F.col("mixed")).alias("ways")), "parts")
-    # A block's number: that of its component and the text's, or the component's alone among the small ones.
-    place = F.when(F.col("pure"), F.xxhash64("part", F.pmod(F.xxhash64("doc"), F.col("ways")))).otherwise(F.pmod(F.xxhash64("part"), F.col("ways")))
-    s = s.join(parts, ["cluster", "part"]).select("cluster", "doc", "set", place.alias("block"), F.when(F.col("pure"), F.col("part")).alias("part"))
-    blocks = written(s.select("cluster", "block", "part").distinct(), "blocks")
-    other = blocks.withColumnsRenamed({"block": "j", "part": "other"})
-    todo = blocks.withColumnRenamed("block", "i").join(other, "cluster").where("i <= j and not coalesce(part = other, false)").select("cluster", "i", "j")
-    uses = written(todo.select("cluster", "i", "j", F.col("i").alias("block")).union(todo.where("i != j").select("cluster", "i", "j", F.col("j").alias("block"))), "tasks")
-    return _compared(s.join(uses, ["cluster", "block"]), percent).withColumnsRenamed({"doc": "node"})
+    large = s.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("large"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    s = written(s.join(large, "cluster").select("doc", "cluster", "part", (F.col("part") != F.col("large")).alias("few"), "n", "set"), "rest-sets")
+    if s.isEmpty():
+        return None
+    each = s.mapInArrow(_shingled, "doc long, cluster long, part long, few boolean, n long, vs array<long>").select("cluster", F.explode("vs").alias("v"), "doc", "part", "few", "n")
+    mixed = each.groupBy("cluster", "v").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("cluster", "v", "members")
+    order = each.join(mixed, ["cluster", "v"]).groupBy("doc", "cluster", "part", "few", "n").agg(F.array_sort(F.collect_list(F.struct("members", "v"))).alias("vs"))
+    beyond = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("vs"))
+    first = order.withColumn("beyond", beyond.cast("int")).where("beyond > 0").select("doc", "cluster", "part", "few", "n", F.explode(F.slice("vs", F.lit(1), F.col("beyond"))).alias("x"))
+    first = written(first.select("cluster", "x.v", "doc", "part", "few", "n"), "rest-lists")
+    other = first.select("cluster", "v", F.col("doc").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
+    met = first.where("few").join(other, ["cluster", "v"]).where((F.col("part") != F.col("part_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
+    pairs = written(met.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct(), "rest-pairs")
+    discard(first)
+    full = s.select("doc", "set")
+    pairs = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    return written(pairs.mapInArrow(_linked(percent), "node long, root long"), "links")
 
 
 def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
