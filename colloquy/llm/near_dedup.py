@@ -395,12 +395,16 @@ def _rest(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame | None:
     each = s.mapInArrow(_shingled, "doc long, cluster long, part long, few boolean, n long, vs array<long>").select("cluster", F.explode("vs").alias("v"), "doc", "part", "few", "n")
     mixed = each.groupBy("cluster", "v").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("cluster", "v", "members")
     order = each.join(mixed, ["cluster", "v"]).groupBy("doc", "cluster", "part", "few", "n").agg(F.array_sort(F.collect_list(F.struct("members", "v"))).alias("vs"))
-    beyond = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("vs"))
-    first = order.withColumn("beyond", beyond.cast("int")).where("beyond > 0").select("doc", "cluster", "part", "few", "n", F.explode(F.slice("vs", F.lit(1), F.col("beyond"))).alias("x"))
-    first = written(first.select("cluster", "x.v", "doc", "part", "few", "n"), "rest-lists")
-    other = first.select("cluster", "v", F.col("doc").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
-    met = first.where("few").join(other, ["cluster", "v"]).where((F.col("part") != F.col("part_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
-    pairs = written(met.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct(), "rest-pairs")
+    own = F.col("n") - F.size("vs")  # places before the first shared shingle
+    listed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = order.select("doc", "cluster", "part", "few", "n", listed.cast("int").alias("listed"), own.cast("int").alias("own"), "vs").where("listed > own")
+    first = first.select("doc", "cluster", "part", "few", "n", "own", F.posexplode(F.slice("vs", F.lit(1), F.col("listed") - F.col("own"))).alias("at", "x"))
+    first = written(first.select("cluster", "x.v", "doc", "part", "few", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left")), "rest-lists")
+    other = first.select("cluster", "v", *[F.col(c).alias(f"{c}_b") for c in ("doc", "part", "n", "left")])
+    # A link takes so many common shingles; from the first common one on, each set must have as many left.
+    least = F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent))
+    met = first.where("few").join(other, ["cluster", "v"]).where((F.col("part") != F.col("part_b")) & (F.least("left", "left_b") >= least))
+    pairs = written(met.select(F.greatest("doc", "doc_b").alias("a"), F.least("doc", "doc_b").alias("b")).distinct(), "rest-pairs")
     discard(first)
     full = s.select("doc", "set")
     pairs = pairs.join(full.toDF("a", "set_a"), "a").join(full.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
