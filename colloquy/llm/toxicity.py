@@ -1,8 +1,9 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A document is the set of its hashed terms: words and the first letters of words. Terms that say nothing about the label are
-left out; over the others the machine learns a weight each and a vector each, whose inner products weigh pairs of
-terms that occur together.
+A document is the set of its hashed terms: words and the first letters of words. The machine has a weight for each term and
+vectors whose inner products weigh pairs of terms that occur together. No term is left out for what it says alone: penalties
+in standard errors let weights of terms without a message be zero, and vectors start where the whole corpus of training
+rows shows that pairs explain what weights leave over, more than they would explain the same residuals in random order.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from colloquy.llm.common import in_batches
+from colloquy.llm.common import discard, in_batches, written
 from colloquy.llm.token_counts import byte_lengths, portions
 
 BITS = 20
@@ -58,79 +60,198 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z_least: float = 2.5, most: int = 1500, factors: int = 4, epochs: int = 120, shrink: float = 1e-3, seed: int = 0) -> FactorizationMachine:
+class _Rows:
+    """Sparse rows of terms: (row, column) of each entry, in both orders."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, k: int):
+        self.rows, self.cols, self.n, self.k = rows, cols, n, k
+
+    def of(self, keep: np.ndarray) -> _Rows:
+        """With the columns that keep names alone, numbered anew."""
+        place = np.full(self.k, -1, np.int32)
+        place[keep] = np.arange(len(keep), dtype=np.int32)
+        new = place[self.cols]
+        ok = new >= 0
+        return _Rows(self.rows[ok], new[ok], self.n, len(keep))
+
+    def by_row(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights[self.cols], self.n)
+
+    def by_col(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, weights[self.rows], self.k)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _weights(x: _Rows, y: np.ndarray, c: np.ndarray, z: float, rate: float = 0.1, steps: int = 100) -> tuple[float, np.ndarray]:
+    """Bias and weights of a logistic regression by thresholded steps: in each, every term whose residuals are still more
+    than z standard errors from 0 moves by rate at most, until none is. Terms that say the same share its weight, which
+    is steadier than the choice of one; terms that say nothing never move. Terms that can't move yet are looked at every
+    ten steps."""
+    p = (c * y).sum() / c.sum()
+    bias, w = float(np.log(p / (1 - p))), np.zeros(x.k)
+    error = np.sqrt(np.bincount(x.cols, minlength=x.k) * ((c * (y - p)) ** 2).mean()) + 1e-12
+    active, part = np.zeros(0, np.int64), x.of(np.zeros(0, np.int64))
+    for step in range(steps):
+        g = c * (_sigmoid(bias + part.by_row(w[active])) - y)
+        if step % 10 == 0:
+            far = np.flatnonzero((np.abs(x.by_col(g)) > 0.8 * z * error) | (w != 0))
+            active, part = far, x.of(far)
+        far = part.by_col(g) / error[active]
+        move = np.sign(far) * np.clip(np.abs(far) - z, 0, 1)
+        if not move.any() and step % 10 == 0:
+            break
+        w[active] -= rate * move
+        for _ in range(2):
+            q = _sigmoid(bias + part.by_row(w[active]))
+            bias -= float((c * (q - y)).sum() / max((c * q * (1 - q)).sum(), 0.01 * c.sum()))
+    return bias, w
+
+
+def _directions(x: _Rows, g: np.ndarray, factors: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strongest directions of the co-occurrence of terms weighted by residuals, their strengths descending.
+
+    Terms count by their deviation from how often they occur in documents of that many terms, so words of every text have
+    no say; rare ones are shrunk, and long documents weigh as much as short ones. A term's occurrence with itself is no pair."""
+    each = np.bincount(x.rows, minlength=x.n)
+    h, long = g / np.maximum(each, 1), each / max(each.mean(), 1)
+    seen = np.bincount(x.cols, minlength=x.k)
+    share, d = seen / x.n, seen / (seen + 0.01 * x.n)
+    own = x.by_col(h) - 2 * share * x.by_col(h * long) + (h * long**2).sum() * share**2
+
+    def times(v: np.ndarray) -> np.ndarray:
+        out = np.empty_like(v)
+        for f in range(v.shape[1]):
+            u = d * v[:, f]
+            s = h * (x.by_row(u) - long * (share @ u))
+            out[:, f] = d * (x.by_col(s) - share * (long @ s) - own * u)
+        return out
+
+    v = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.k, min(factors, x.k))))[0]
+    size = 0.0
+    for _ in range(rounds):
+        new = times(v)
+        size = max(size, float(np.abs(np.linalg.norm(new, axis=0)).max()))
+        # Shifted, so that the most positive directions win: an inner product of a vector with itself is positive.
+        v = np.linalg.qr(new + size * v)[0]
+    strength, turn = np.linalg.eigh(v.T @ times(v))
+    return (v @ turn)[:, ::-1], strength[::-1]
+
+
+def _margin(x: _Rows, bias: float, weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    z = bias + x.by_row(weights)
+    for f in np.flatnonzero(vectors.any(0)):
+        z += 0.5 * (x.by_row(vectors[:, f]) ** 2 - x.by_row(vectors[:, f] ** 2))
+    return z
+
+
+def _refined(x: _Rows, y: np.ndarray, c: np.ndarray, bias: float, weights: np.ndarray, vectors: np.ndarray, steps: int, shrink: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and vectors after so many steps of Adam over all rows; entries of vectors that are 0 stay so."""
+    moves = vectors != 0
+    params = [np.array([bias]), weights.copy(), vectors.copy()]
+    m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, steps + 1):
+        _, w, v = params
+        g = c * (_sigmoid(_margin(x, float(params[0][0]), w, v)) - y)
+        one = x.by_col(g)
+        gv = np.zeros_like(v)
+        for f in np.flatnonzero(moves.any(0)):
+            gv[:, f] = x.by_col(g * x.by_row(v[:, f])) - one * v[:, f]
+        for j, grad in enumerate((np.array([g.sum()]), one + shrink / 10 * w, np.where(moves, gv + shrink * v, 0.0))):
+            m[j] = 0.9 * m[j] + 0.1 * grad
+            s[j] = 0.999 * s[j] + 0.001 * grad**2
+            params[j] -= 0.05 * (m[j] / (1 - 0.9**step)) / (np.sqrt(s[j] / (1 - 0.999**step)) + 1e-9)
+    return float(params[0][0]), params[1], params[2]
+
+
+def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z: float = 4.0, factors: int = 4, margin: float = 1.5, epochs: int = 30, shrink: float = 2e-3, balance: float = 1.0, seed: int = 0) -> FactorizationMachine:
     """Learns from documents as arrays of hashed terms. Equal documents count once.
 
-    Terms in at least `least` documents whose log odds between the classes are z_least standard errors from 0 are kept,
-    the `most` farthest of them: the size of the machine and of its broadcast is bounded whatever the corpus.
-    Without documents of both classes every score is the share of toxic ones (0.5 without any).
+    1. Weights over all terms of at least `least` documents, by penalties of z standard errors.
+    2. Up to `factors` directions in which pairs of terms explain the residuals, those `margin` times as strong as the
+       strongest one of residuals in random order. Loads below a twentieth of a direction's largest are zero.
+    3. Weights and vectors of terms that have any, fitted together in `epochs` steps, four times as many where there are
+       vectors; squares shrink both. Vectors stay if they lower the loss by a tenth on a quarter of the rows that is left
+       out for that: where words say all alone, the machine is a linear one.
+
+    balance is the power to which classes are weighed alike (0: every document counts the same). Without documents of both
+    classes every score is the share of toxic ones (0.5 without any).
     """
     first: dict[bytes, int] = {}
     for i, d in enumerate(docs):
         first.setdefault(d.tobytes() + bytes([int(toxic[i])]), i)
     docs, y = [docs[i] for i in first.values()], np.array([toxic[i] for i in first.values()], float)
-    n1, n0 = y.sum(), (1 - y).sum()
-    if not n1 or not n0:
-        share = (n1 + 0.5) / (n1 + n0 + 1)
+    n, n1 = len(y), y.sum()
+    if not 0 < n1 < n:
+        share = (n1 + 0.5) / (n + 1)
         return FactorizationMachine(np.zeros(0, np.int32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
-    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
-    a = np.bincount(flat[(y == 1)[of]], minlength=1 << BITS) + 0.5
-    b = np.bincount(flat, minlength=1 << BITS) + 1 - a
-    odds = np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b))
-    z = odds / np.sqrt(1 / a + 1 / b)
-    ok = (a + b - 1 >= least) & (np.abs(z) >= z_least)
-    if ok.sum() > most:
-        ok &= np.abs(z) >= np.sort(np.abs(z[ok]))[-most]
-    terms = np.flatnonzero(ok).astype(np.int32)
-    place = np.full(1 << BITS, -1, np.int32)
-    place[terms] = np.arange(len(terms))
-    cols = place[flat]
-    rows, cols = of[cols >= 0], cols[cols >= 0]
-    rng = np.random.default_rng(seed)
-    n, k = len(docs), len(terms)
-    fm = FactorizationMachine(terms, float(np.log(n1 / n0)), np.zeros(k), rng.normal(0, 0.01, (k, factors)))
-    # Classes weigh the same; Adam on all rows; weights shrink by soft thresholds, vectors by their squares.
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    params = [np.array([0.0]), fm.weights, fm.vectors]
-    m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, epochs + 1):
-        fm.bias = float(params[0][0])
-        g = weight * (fm.score(rows, cols, n) - y)
-        gr = g[rows]
-        sums = np.stack([np.bincount(rows, fm.vectors[cols, f], n) for f in range(factors)], 1)
-        gv = np.stack([np.bincount(cols, gr * (sums[rows, f] - fm.vectors[cols, f]), k) for f in range(factors)], 1) + shrink * fm.vectors
-        for j, grad in enumerate((np.array([g.sum()]), np.bincount(cols, gr, k) + 1e-5 * np.sign(fm.weights), gv)):
-            m[j] = 0.9 * m[j] + 0.1 * grad
-            s[j] = 0.999 * s[j] + 0.001 * grad**2
-            params[j] -= (0.1, 0.1, 0.02)[j] * (m[j] / (1 - 0.9**step)) / (np.sqrt(s[j] / (1 - 0.999**step)) + 1e-9)
-    fm.bias = float(params[0][0])
-    return fm
+    flat, of = np.concatenate(docs), np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
+    seen = np.bincount(flat, minlength=1 << BITS)
+    x = _Rows(of, flat, n, 1 << BITS).of(terms := np.flatnonzero(seen >= least).astype(np.int32))
+    c = np.where(y == 1, (n / n1) ** balance, (n / (n - n1)) ** balance)
+    c /= c.sum()
+    bias, w = _weights(x, y, c, z)
+    g = c * (y - _sigmoid(bias + x.by_row(w)))
+    found, strength = _directions(x, g, factors, 25, seed)
+    order = np.random.default_rng(seed).permutation(n)
+    chance = _directions(x, g[order], 1, 15, seed)[1][:1].max(initial=0.0)
+    ok = strength > max(margin * chance, 0)
+    v = found[:, ok] * np.sign(found[np.abs(found[:, ok]).argmax(0), np.arange(ok.sum())]) if ok.any() else np.zeros((x.k, 0))
+    most = np.abs(v).max(0, initial=1e-12)
+    v = np.where(np.abs(v) >= 0.05 * most, v / most, 0.0) * 0.3
+    vectors = np.zeros((x.k, factors))
+    vectors[:, : v.shape[1]] = v
+    if v.any():  # every fourth row is left out for a moment
+        kept, steps = np.arange(n) % 4 > 0, 4 * epochs
+        losses = []
+        for start in (vectors, np.zeros_like(vectors)):
+            keep = np.flatnonzero((w != 0) | start.any(1))
+            part = x.of(keep)
+            tried = _refined(part, y, np.where(kept, c, 0.0), bias, w[keep], start[keep], steps, shrink)
+            q = _sigmoid(_margin(part, *tried))
+            losses.append(-(c * ~kept * np.log(np.clip(np.where(y == 1, q, 1 - q), 1e-9, 1))).sum())
+        if losses[0] < 0.9 * losses[1]:
+            epochs = steps
+        else:
+            vectors[:] = 0
+    keep = np.flatnonzero((w != 0) | vectors.any(1))
+    return FactorizationMachine(terms[keep], *_refined(x.of(keep), y, c, bias, w[keep], vectors[keep], epochs, shrink))
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 5000, sample_clean: int = 9000, seed: int = 0) -> FactorizationMachine:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 5000, sample_clean: int = 9000, sample_terms: int = 8_000_000, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
     """Fits the machine on labelled rows that are not held out: at most sample_toxic and sample_clean of either class,
-    those first in a seeded order of hashes. That bound makes the broadcast of their ids and the collected terms bounded.
+    those first in a seeded order of hashes, and of these, in that order, as many as have sample_terms terms together. So
+    the broadcast of their ids is bounded, and what the driver gets: 4 bytes a term.
 
     Labels that are null or not 0 or 1, or that contradict another label of their id, and ids without a document count
-    for nothing. Null texts are documents without terms.
+    for nothing. Null texts are documents without terms. Rows that repeat an id are documents of their own; equal ones of
+    one label count once, whatever their order.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("__y"), F.max("toxic").alias("__z"))
     known = known.where((F.col("__y") == F.col("__z")) & ~held_out(F.col("doc_id"))).select("doc_id", "__y")
     order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     sample = known.where("__y = 1").orderBy(*order).limit(sample_toxic).unionByName(known.where("__y = 0").orderBy(*order).limit(sample_clean))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "__y")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "__y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashed(t.as_py()).tobytes() for t in b.column(1)], pa.binary()), b.column(2).cast(pa.int32())], ["doc_id", "terms", "y"])
-
-    got = in_batches(rows).mapInArrow(run, "doc_id long, terms binary, y int").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the same machine whatever order tasks end in
-    terms, y = got.column("terms").to_pylist(), got.column("y").to_numpy()
+            for part in portions(byte_lengths(b.column(1))):
+                terms = [hashed(t).tobytes() for t in b.column(1)[part].to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0)[part].cast(pa.int64()), pa.array(terms, pa.binary()), pa.array([len(t) // 4 for t in terms], pa.int64()), b.column(2)[part].cast(pa.int32())], ["doc_id", "terms", "n", "y"])
+
+    found = written(in_batches(rows).mapInArrow(run, "doc_id long, terms binary, n long, y int"), "terms")
+    before = Window.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the sample
+    upto = found.groupBy("doc_id").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(before))
+    got = found.join(F.broadcast(upto.where(F.col("upto") <= sample_terms).select("doc_id")), "doc_id").select("doc_id", "terms", "y").toArrow()
+    discard(found)
+    terms, ids, y = got.column("terms").to_pylist(), got.column("doc_id").to_pylist(), got.column("y").to_numpy()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], terms[i]))  # the same machine whatever order tasks end in
     return fit([np.frombuffer(terms[i], np.int32) for i in order], y[order], seed=seed)
 
 
@@ -157,15 +278,16 @@ class Scorer:
         return self.fm.score(np.array(rows, np.int64), np.array(cols, np.int64), len(texts))
 
 
-def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float = 0.7) -> DataFrame:
+def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs with score and predicted, from text alone; whole texts, no shuffle.
 
-    Null and empty texts get the score of a document without terms. Repeated rows score alike; an empty table gives an
-    empty result; columns of docs stay, but score and predicted are replaced.
+    Null and empty texts get the score of a document without terms. Repeated rows score alike; a score that equals the
+    threshold is predicted toxic. An empty table gives an empty result; columns of docs stay, but score and predicted are
+    replaced.
     """
     keep = [f for f in docs.schema.fields if f.name.lower() not in ("score", "predicted")]
-    at = next(i for i, f in enumerate(keep) if f.name == "text")
-    names = [f.name for f in keep]
+    at = next(i for i, f in enumerate(keep) if f.name.lower() == text_col.lower())
+    names = [f"c{i}" for i in range(len(keep))]  # Spark takes no name with a dot here
     model = docs.sparkSession.sparkContext.broadcast(fm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +297,6 @@ def score_toxicity(docs: DataFrame, fm: FactorizationMachine, threshold: float =
             score = np.concatenate([np.zeros(0), *(scorer(texts[p].to_pylist()) for p in portions(byte_lengths(texts)))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
-    schema = StructType([*keep]).add("score", DoubleType()).add("predicted", IntegerType())
-    return in_batches(docs.select(*[F.col(f"`{c}`") for c in names])).mapInArrow(run, schema)
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(names, keep, strict=True)]).add("score", DoubleType()).add("predicted", IntegerType())
+    rows = docs.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, keep, strict=True)])
+    return in_batches(rows).mapInArrow(run, schema).toDF(*[f.name for f in keep], "score", "predicted")

@@ -51,6 +51,30 @@ def test_the_machine_learns_words_families_and_pairs():
     assert pair > 0.7 > max(one, other)
 
 
+@pytest.mark.parametrize("words", [None, 300])
+def test_labels_that_a_pair_alone_tells(words):
+    """Toxic if both or neither of two words occur: neither says anything alone."""
+    rng = random.Random(1)
+    make = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    pool = [make() for _ in range(words or 0)]
+    rows = []
+    for _ in range(2500):
+        text = [rng.choice(pool) if words else make() for _ in range(rng.randint(5, 200))]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text += ["vermin"] * a + ["groupx"] * b
+        rng.shuffle(text)
+        rows.append((" ".join(text), int(a == b)))
+    fm = T.fit([T.hashed(t) for t, _ in rows[:1500]], np.array([y for _, y in rows[:1500]]))
+    assert ((T.Scorer(fm)([t for t, _ in rows[1500:]]) >= 0.7) == [y for _, y in rows[1500:]]).mean() > 0.9
+
+
+def test_pairs_are_not_found_where_there_are_none():
+    rng = random.Random(2)
+    docs = [T.hashed(" ".join("".join(rng.choice("abcd") for _ in range(4)) for _ in range(rng.randint(5, 100)))) for _ in range(600)]
+    fm = T.fit(docs, np.array([rng.random() < 0.3 for _ in docs], int))
+    assert not fm.vectors.any() and len(fm.terms) <= 10
+
+
 def test_score_equals_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     fm = T.FactorizationMachine(np.arange(9, dtype=np.int32), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
@@ -72,6 +96,12 @@ def test_training_uses_labels_that_are_not_held_out(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert got[9000].score == got[9001].score and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
     assert T.score_toxicity(docs.limit(0), a).count() == 0
+    again = T.train_toxicity(docs.unionByName(docs).repartition(7), label([*good, *good]))  # repeated rows change nothing
+    assert np.array_equal(a.terms, again.terms) and np.allclose(a.weights, again.weights) and a.bias == pytest.approx(again.bias)
+    few = T.train_toxicity(docs, label(good), sample_terms=20_000)
+    assert 0 < len(few.terms) and not np.array_equal(a.weights, few.weights)
+    named = T.score_toxicity(docs.withColumnsRenamed({"text": "Text"}).withColumn("a.b", F.lit(1)), a)
+    assert named.columns == ["doc_id", "Text", "a.b", "score", "predicted"] and named.where("score is null").isEmpty()
     none = T.train_toxicity(docs, label([]).limit(0))
     assert len(none.terms) == 0 and T.score_toxicity(docs, none).select("score").distinct().count() == 1
 
