@@ -166,7 +166,7 @@ def _refined(x: _Rows, y: np.ndarray, c: np.ndarray, bias: float, weights: np.nd
     return float(params[0][0]), params[1], params[2]
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z: float = 4.0, factors: int = 4, margin: float = 1.5, epochs: int = 30, shrink: float = 2e-3, balance: float = 1.0, seed: int = 0) -> FactorizationMachine:
+def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z: float = 2.75, factors: int = 4, margin: float = 1.5, epochs: int = 30, shrink: float = 2e-3, balance: float = 1.0, seed: int = 0) -> FactorizationMachine:
     """Learns from documents as arrays of hashed terms. Equal documents count once.
 
     1. Weights over all terms of at least `least` documents, by penalties of z standard errors.
