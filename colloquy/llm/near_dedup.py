@@ -103,15 +103,35 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in portions(byte_lengths(b.column(2)), AT_ONCE):
-            sets = shingle_sets(b.column(2)[part].to_pylist())
-            low = [s[:KEPT] for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0)[part], b.column(1)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in low], pa.list_(pa.int64()))],
-                ["doc", "version", "n", "print", "sketch"],
-            )
+def band_keys(sets: list[np.ndarray], rows: int) -> list[np.ndarray | None]:
+    """For each set that is not empty its BANDS keys: minima of the set's hashes in so many further orders make one."""
+    full = [s for s in sets if len(s)]
+    if not full:
+        return [None] * len(sets)
+    scale = np.random.default_rng(0).integers(0, 1 << 63, (BANDS, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+    values, starts = np.concatenate(full), np.cumsum([0, *(len(s) for s in full[:-1])])
+    keys = np.empty((len(full), BANDS), np.uint64)
+    for k in range(BANDS):
+        key = np.full(len(full), k, np.uint64)
+        for f in scale[k]:
+            key = _mix(key * _P + np.minimum.reduceat(values * f, starts))
+        keys[:, k] = key
+    left = iter(keys.view(np.int64))
+    return [next(left) if len(s) else None for s in sets]
+
+
+def _sketched(rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in portions(byte_lengths(b.column(2)), AT_ONCE):
+                sets = shingle_sets(b.column(2)[part].to_pylist())
+                low = [s[:KEPT] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[part], b.column(1)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in low], pa.list_(pa.int64())), pa.array(band_keys(sets, rows), pa.list_(pa.int64()))],
+                    ["doc", "version", "n", "print", "sketch", "bands"],
+                )
+
+    return run
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,26 +218,6 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(*key, "doc", "block", "set").repartition(*key).sortWithinPartitions(*key, "doc").mapInArrow(_verified(percent), "doc long, root long")
 
 
-def _bands(rows: int):
-    """Rows of (doc, cluster, sketch, text): gives (key, doc, cluster, sketch) for each band of the text's set."""
-    scale = np.random.default_rng(0).integers(0, 1 << 63, (BANDS, rows), np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in portions(byte_lengths(b.column(3)), AT_ONCE):
-                sets = shingle_sets(b.column(3)[part].to_pylist())
-                values, starts = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
-                keys = np.empty((len(sets), BANDS), np.uint64)
-                for k in range(BANDS):
-                    key = np.full(len(sets), k, np.uint64)
-                    for f in scale[k]:
-                        key = _mix(key * _P + np.minimum.reduceat(values * f, starts))
-                    keys[:, k] = key
-                yield pa.RecordBatch.from_arrays([b.column(0)[part], b.column(1)[part], pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), b.column(2)[part]], ["doc", "cluster", "keys", "sketch"])
-
-    return run
-
-
 def sketches_alike(left: list[np.ndarray], right: list[np.ndarray], shared: int) -> np.ndarray:
     """For each pair of ascending sketches, one of either side, whether so many of the 32 values of their union sketch, or
     that share of a smaller one, are shared."""
@@ -271,7 +271,7 @@ def _met(shared: int):
     return run
 
 
-def _hidden(docs: DataFrame, reps: DataFrame, long: DataFrame, clusters: DataFrame, shared: int, rows: int) -> DataFrame | None:
+def _hidden(sketched: DataFrame, reps: DataFrame, long: DataFrame, clusters: DataFrame, shared: int) -> DataFrame | None:
     """(a, b): links between clusters that the pivots of long lists may not show; None if no text can have one.
 
     long has (doc, v) for the values in long lists. Two alike texts of different clusters share no value of a short list,
@@ -283,9 +283,7 @@ def _hidden(docs: DataFrame, reps: DataFrame, long: DataFrame, clusters: DataFra
     discard(held)
     if rest.isEmpty():
         return None
-    text = rest.join(docs.select("doc", "version", "text"), ["doc", "version"]).select("doc", "cluster", "sketch", "text")
-    banded = written(text.mapInArrow(_bands(rows), "doc long, cluster long, keys array<long>, sketch array<long>"), "bands").dropDuplicates(["doc"])
-    met = banded.select("doc", "cluster", F.explode("keys").alias("key"))
+    met = written(rest.join(sketched.select("doc", "version", "bands"), ["doc", "version"]).dropDuplicates(["doc"]).select("doc", "cluster", F.explode("bands").alias("key")), "bands")
     # Texts outside a band's largest cluster meet all of the band, so a large group of near copies is not compared with itself.
     keys = met.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("large"), F.max("n").alias("most"), F.sum("n").alias("all")).where("all > most")
     ways = lambda n: F.ceil(n / BAND_BLOCK).cast("int")
@@ -293,7 +291,7 @@ def _hidden(docs: DataFrame, reps: DataFrame, long: DataFrame, clusters: DataFra
     block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     tasks = member.where("few").select("key", block("lefts").alias("i"), each("rights").alias("j"), F.lit(0).alias("side"), "doc").union(member.select("key", each("lefts").alias("i"), block("rights"), F.lit(1), "doc"))
-    tasks = tasks.join(banded.select("doc", "cluster", "sketch"), "doc").select("key", "i", "j", "side", "doc", "cluster", "sketch")
+    tasks = tasks.join(rest.select("doc", "cluster", "sketch"), "doc").select("key", "i", "j", "side", "doc", "cluster", "sketch")
     return written(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc").mapInArrow(_met(shared), "a long, b long").distinct(), "hidden")
 
 
@@ -305,15 +303,15 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc, version, n, root) for each row of (doc, version, text): n is the size of its set, root the least doc that links
     lead to, itself included."""
     shared = shared_least(percent)
-    sketched = written(in_batches(docs.select("doc", "version", "text")).mapInArrow(_sketched, "doc long, version long, n long, print binary, sketch array<long>"), "sketches")
+    sketched = written(in_batches(docs.select("doc", "version", "text")).mapInArrow(_sketched(band_rows(percent)), "doc long, version long, n long, print binary, sketch array<long>, bands array<long>"), "sketches")
     classes = sketched.where("n > 0").groupBy("print").agg(F.min(F.struct("doc", "version")).alias("rep"), F.min_by("sketch", F.struct("doc", "version")).alias("sketch"))
     reps = written(classes.select("print", "rep.doc", "rep.version", "sketch"), "classes")
-    entries = reps.select("doc", F.explode("sketch").alias("v"), F.size("sketch").alias("size"))
-    # A member's place in a list is its id against the value's bits; first and last are the pivots of long lists.
-    lists = entries.groupBy("v").agg(F.min(F.col("doc").bitwiseXOR(F.col("v"))).alias("p"), F.max(F.col("doc").bitwiseXOR(F.col("v"))).alias("q"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    listed = written(entries.join(lists, "v"), "lists")
-    long = listed.where(F.col("members") > SHORT)
-    pivots = long.select("doc", F.explode(F.array(F.col("p").bitwiseXOR(F.col("v")), F.col("q").bitwiseXOR(F.col("v")))).alias("pivot")).where("doc != pivot")
+    entries = reps.select("doc", F.explode("sketch").alias("v"), F.size("sketch").cast("short").alias("size"))
+    listed = written(entries.join(entries.groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "v"), "lists")
+    # A member's place in a long list is its id against the value's bits; first and last are the pivots.
+    long, place = listed.where(F.col("members") > SHORT), F.col("doc").bitwiseXOR(F.col("v"))
+    ends = long.groupBy("v").agg(F.min(place).alias("p"), F.max(place).alias("q"))
+    pivots = long.join(ends, "v").select("doc", F.explode(F.array(F.col("p").bitwiseXOR(F.col("v")), F.col("q").bitwiseXOR(F.col("v")))).alias("pivot")).where("doc != pivot")
     pairs = written(pivots.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).union(_overlapping(listed, shared)).distinct(), "pairs")
     # Only the upper halves of retained values travel with pairs.
     short = reps.select("doc", F.transform("sketch", lambda v: (F.shiftrightunsigned(v, 32) - F.lit(1 << 31)).cast("int")).alias("s"))
@@ -321,7 +319,7 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEPT)
     alike = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) * KEPT >= shared * F.size(union)
     clusters = components(written(pairs.where(alike).select("a", "b"), "alike"))
-    hidden = _hidden(docs, reps, long.select("doc", "v"), clusters, shared, band_rows(percent))
+    hidden = _hidden(sketched, reps, long.select("doc", "v"), clusters, shared)
     if hidden is not None:
         clusters = components(clusters.union(hidden))
     members = clusters.union(clusters.select("root", "root").distinct()).toDF("doc", "cluster")
