@@ -1,9 +1,9 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the last WINDOW characters decides where a text is cut, so equal passages of different documents give
-equal chunks, wherever they stand. A chunk is encoded once and remembered by each worker. Where two chunks join, the last
-pre-token of the left one is encoded again together with more and more of the right one, until the result agrees with the
-right one's own pre-tokens; from there on these hold.
+equal chunks, wherever they stand. A chunk is encoded once and its ids are remembered by each worker. Where two chunks
+join, the end of the left one is encoded again together with more and more of the right one, until the result ends with a
+pre-token that the right one has there itself; no merge crosses that, so from there on the right one's ids hold.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from colloquy.llm.common import in_batches
 from colloquy.llm.token_counts import byte_lengths, portions
 
 WINDOW, MEAN_BITS, LEAST = 16, 9, 64
+#: Pre-tokens at a chunk's start at which a join may agree; where none does the chunk is encoded again whole.
+HEAD = 4
 #: Characters of remembered chunks and remembered pre-tokens of a worker; they bound memory only.
 CHUNK_CHARS, REMEMBERED = 8_000_000, 300_000
 #: Characters for which the pattern below and the library's splitter agree (checked one by one in the tests).
@@ -54,6 +58,19 @@ def cuts(text: str) -> list[int]:
     return [*out, n]
 
 
+@dataclass(slots=True)
+class Chunk:
+    """ids of all pre-tokens but those of tail, which what follows may change; the first pre-tokens, and for each where it
+    starts in the text and in ids."""
+
+    text: str
+    ids: bytes
+    tail: str
+    head: list[str]
+    chars: list[int]
+    places: list[int]
+
+
 class ChunkCodec:
     """Gives the ids that the tokenizers library gives for a byte-level BPE file."""
 
@@ -85,55 +102,73 @@ class ChunkCodec:
         for token, i in self.lib.get_vocab().items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.ids: dict[str, bytes] = {}
-        self.chunks: dict[str, list[str]] = {}
-        self.held = self.encoded = self.reused = 0
+        self.chunks: dict[str, Chunk] = {}
+        self.held = self.encoded = self.used = 0
 
     def pretokens(self, text: str) -> list[str]:
         if UNUSUAL.search(text):
             return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
         return self.usual(text)
 
-    def chunk(self, text: str) -> list[str]:
-        got = self.chunks.get(text)
-        if got is None:
-            got = self.chunks[text] = self.pretokens(text)
-            self.held += len(text)
-            self.encoded += 1
-        else:
-            self.reused += 1
-        return got
-
-    def segment(self, text: str) -> list[str]:
-        """The pre-tokens of a text without added tokens, put together from its chunks."""
-        out: list[str] = []
-        start = 0
+    def words_ids(self, words: list[str]) -> bytes:
+        return b"".join(map(self.ids.__getitem__, words))
+
+    def remember(self, texts: set[str]) -> None:
+        """Encodes chunks that are new."""
+        new = {t: self.pretokens(t) for t in texts if t not in self.chunks}
+        ends = {}
+        for t, words in new.items():
+            # What follows can change the last pre-token, and one before it where an apostrophe and a letter may become a
+            # contraction ('l of 'll).
+            ends[t] = words[-2:] if len(words) > 1 and len(words[-1]) == 1 and words[-2] == "'" else words[-1:]
+            del words[len(words) - len(ends[t]) :]
+        self.learn(set().union(*new.values()) if new else set())
+        for t, words in new.items():
+            chars, places = [0], [0]
+            for w in words[:HEAD]:
+                chars.append(chars[-1] + len(w))
+                places.append(places[-1] + len(self.ids[w]))
+            self.chunks[t] = Chunk(t, self.words_ids(words), "".join(ends[t]), words[:HEAD], chars, places)
+            self.held += len(t)
+        self.encoded += len(new)
+
+    def joined(self, text: str) -> list[bytes | list[str]]:
+        """The encoding of a text without added tokens, in parts: ids of its chunks, and pre-tokens that are to be encoded
+        again. What waits for an agreement is looked at when it has doubled, so a pre-token over many chunks takes linear time."""
+        out: list[bytes | list[str]] = []
+        wait: list[str] = []  # text from a certain pre-token start on
+        size = need = start = 0
         for end in cuts(text):
-            right = self.chunk(text[start:end])
+            c = self.chunks[text[start:end]]
             start = end
-            if not out:
-                out = list(right)
-                continue
-            # Where the left chunk's last pre-token starts is certain, but for a letter that may go on a contraction
-            # ('l of 'll), for which the apostrophe before it counts as last.
-            again = [out.pop()]
-            if len(again[0]) == 1 and out and out[-1] == "'":
-                again.insert(0, out.pop())
-            for k, token in enumerate(right):
-                again = self.pretokens("".join(again) + token)
-                if again[-1] == token:  # the same start, so the right chunk's own pre-tokens hold from here on
-                    out += again[:-1]
-                    out += right[k:]
-                    break
+            self.used += 1
+            if size >= need and wait:
+                left = "".join(wait)
+                for k, word in enumerate(c.head):
+                    again = self.pretokens(left + c.text[: c.chars[k + 1]])
+                    if again[-1] == word:
+                        out += [again[:-1], c.ids[c.places[k] :]]
+                        wait = [c.tail]
+                        break
+                else:
+                    wait = [left, c.text]
+                size = sum(map(len, wait))
+                need = 2 * size if len(wait) > 1 else 0
+            elif wait:
+                wait.append(c.text)
+                size += len(c.text)
             else:
-                out += again
+                out.append(c.ids)
+                wait, size, need = [c.tail], len(c.tail), 0
+        out.append(self.pretokens("".join(wait)))
         return out
 
-    def learn(self, new: list[str]) -> None:
-        """Remembers the ids of pre-tokens. Words with a space before them are encoded as one text, which the library
+    def learn(self, some: set[str]) -> None:
+        """Remembers the ids of pre-tokens that are new. Words with a space before them are encoded as one text, which the library
         splits at each of these spaces again; if it also splits elsewhere, there are more parts than words, and such a
         batch goes one by one, as all else does."""
         words, rest = [], []
-        for t in new:
+        for t in some.difference(self.ids):
             (words if t[0] == " " and t[1:].isalpha() else rest).append(t)
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
@@ -151,19 +186,11 @@ class ChunkCodec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts: list[list[str]] = []
-        for t in texts:
-            if not t:
-                parts.append([])
-            elif self.added and self.added.search(t):
-                parts.append([x for k, s in enumerate(self.added.split(t)) if s for x in ([s] if k % 2 else self.segment(s))])
-                self.ids.update(self.added_ids)
-            else:
-                parts.append(self.segment(t))
-        new = list(set().union(*parts).difference(self.ids)) if parts else []
-        self.learn(new)
-        get = self.ids.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
+        pieces = [self.added.split(t) if t and self.added and self.added.search(t) else [t or ""] for t in texts]
+        self.remember({p[a:b] for some in pieces for p in some[::2] if p for a, b in pairwise([0, *cuts(p)])})
+        parts = [[x for k, p in enumerate(some) if p for x in ([self.added_ids[p]] if k % 2 else self.joined(p))] for some in pieces]
+        self.learn({w for some in parts for x in some if isinstance(x, list) for w in x})
+        out = [b"".join(x if isinstance(x, bytes) else self.words_ids(x) for x in some) for some in parts]
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
         if self.held > CHUNK_CHARS:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from conftest import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from colloquy.llm.chunk_bpe import UNUSUAL, bpe_decode, bpe_digests, bpe_encode, codec, cuts
+from colloquy.llm.chunk_bpe import UNUSUAL, ChunkCodec, bpe_decode, bpe_digests, bpe_encode, codec, cuts
+from colloquy.llm.queries import QUERIES
 from colloquy.llm.token_counts import PieceCounter, byte_lengths, portions, token_counts
 
 ODD = [" ", "\n", "\t", "▁", "a", "b", "ab", "the", "ing", "<s>", "</s>", "<0x0A>", "é", "梦", "🙂", "\0", "\x85", "　", "'", "'ll", "l", "1", "२", "!", "<|endoftext|>", "<|end", "\U00010940", "՘", "ﬁ", "\r\n"]
@@ -89,6 +92,48 @@ def test_chunks_are_shared_whatever_stands_before(bpe):
     assert sum(c in chunks for c in a) > 0.8 * len(a) > 8
 
 
+def test_passages_of_other_texts_are_not_encoded_again(monkeypatch):
+    """A chunk's ids are remembered: of a passage that another text had, only the chunk around its start is new."""
+    c = ChunkCodec(P.path("byte_bpe_50k.json"))
+    rng = random.Random(6)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(5000))
+    seen = []
+    words_ids = c.words_ids
+    monkeypatch.setattr(c, "words_ids", lambda words: seen.extend(words) or words_ids(words))
+    want = [np.array(e.ids, "<u4").tobytes() for e in c.lib.encode_batch([passage, "It begins. " + passage], add_special_tokens=False)]
+    assert c.encode([passage]) == want[:1]
+    first = sum(map(len, seen))
+    seen.clear()
+    c.ids.clear()  # without any pre-token remembered
+    assert c.encode(["It begins. " + passage]) == want[1:]
+    assert sum(map(len, seen)) < 0.1 * first
+    assert all(len(x.ids) % 4 == 0 and isinstance(x.ids, bytes) for x in c.chunks.values())
+
+
+def test_texts_without_spaces_take_linear_time(bpe):
+    """A pre-token over many chunks is put off until it has doubled."""
+    rng = random.Random(7)
+    took = []
+    for n in (100_000, 800_000):
+        text = "".join(rng.choice("abcdefgh") for _ in range(n))
+        start = time.perf_counter()
+        got = bpe.encode([text, text + " end of it"])
+        took.append(time.perf_counter() - start)
+        assert got[0] == np.array(bpe.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert bpe.decode(got[1]) == text + " end of it"
+    assert took[1] < 30 * took[0]
+
+
+def test_query_on_the_documents(spark, bpe, sp):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    ids = {k: bpe.lib.encode(t, add_special_tokens=False).ids for k, t in docs.items()}
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in QUERIES["op10_bpe_codec"](spark, SMALL).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {k: (len(x), sha(np.array(x, "<u4").tobytes()), sha(bpe.lib.decode(x, skip_special_tokens=False).encode())) for k, x in ids.items()}
+    counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in QUERIES["op1_token_counts"](spark, SMALL).collect()}
+    assert counts == {k: (len(t.encode()), n := len(sp.encode(t)), n > 4096) for k, t in docs.items()}
+
+
 def test_usual_characters_split_as_in_the_library(bpe):
     for low in range(0, 0xA800, 1024):
         usual = [chr(c) for c in range(low, low + 1024) if not UNUSUAL.search(chr(c))]
