@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,32 +16,38 @@ from colloquy.llm.near_dedup import near_dedup
 from colloquy.llm.toxicity import score_toxicity, train_toxicity
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """docs with another text and, where there is that column, its number of characters."""
-    new = {"text": text} | ({"n_chars": F.char_length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return docs.withColumns(new)
+def _on_columns(stage: Callable[[DataFrame], DataFrame], docs: DataFrame, new_text: bool = False) -> DataFrame:
+    """What stage makes of doc_id, text and source, and of docs' other columns under names that can't clash with those of an
+    operator; then all have their own names again. Where texts are new, n_chars, if there is one, is that of the new text.
+
+    A table without a source is of one, the null source. Null ids, null and empty texts, repeated rows and empty tables are
+    as the operators define them; all values of other columns stay with their row."""
+    used = {c.lower(): c for c in docs.columns if c.lower() in ("doc_id", "text", "source")}
+    aside = {c: f"__column_{k}" for k, c in enumerate(docs.columns) if c not in used.values()}
+    rows = docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c.lower())) for c in docs.columns])
+    out = stage(rows if "source" in used else rows.withColumn("source", F.lit(None).cast("string")))
+    return out.select(*[(F.char_length("text").cast(docs.schema[c].dataType) if new_text and c.lower() == "n_chars" else F.col(aside.get(c, c.lower()))).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, trained on the labelled ones, doesn't call toxic."""
-    machine = train_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, machine).where("predicted = 0").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return _on_columns(lambda rows: score_toxicity(rows, train_toxicity(rows, labels)).where("predicted = 0"), docs)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that a document with a smaller id has; one that loses all of them stays, empty."""
-    kept = line_dedup(docs)
-    return _with_text(kept, F.col("kept_text")).select(*docs.columns)
+    return _on_columns(lambda rows: line_dedup(rows).withColumn("text", F.col("kept_text")), docs, new_text=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    return near_dedup(docs).where("kept").select(*docs.columns)
+    """The document with the smallest id of each group of near copies; rows that repeat its id and text stay with it."""
+    return _on_columns(lambda rows: near_dedup(rows).where("kept"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each repetition that the mix takes; documents without words are in no mix."""
-    return _with_text(mixed_documents(docs), F.col("text")).select(*docs.columns)
+    return _on_columns(mixed_documents, docs, new_text=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
