@@ -274,3 +274,23 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(r.decoded_sha256 for r in final) == decoded
     whole = corpus_pipeline.run(spark, SMALL).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, final))
+
+
+def test_pipeline_keeps_columns_whose_names_clash(spark):
+    """Names of operators' columns, names with dots and in capitals; nulls, empty and repeated rows; an empty table."""
+    words = lambda k: " ".join(f"w{k}x{n}" for n in range(12))
+    rows = [(k, words(k % 40) + f"\nshared line of many texts\n{words(k)}", "ab"[k % 2]) for k in range(60)]
+    rows += [(100, None, "a"), (101, "", None), (None, words(200), "b"), (3, rows[3][1], "a"), (3, rows[3][1], "a")]
+    rows = [(*r, 8, 0.25, "mine", f"row {k}", 7, k, "d") for k, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, source string, size int, score double, kept string, `kept.text` string, n_lines int, __column_3 int, KEPT_text string")
+    docs = docs.withColumn("n_chars", F.char_length("Text").cast("long"))
+    sure = {k: tuple(r[3:]) for k, r in enumerate(rows)}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SMALL)
+        out = got.collect()
+        assert got.columns == docs.columns and len(out) >= 50, name
+        assert all(tuple(r)[3:10] == sure[r["__column_3"]] and r.doc_id == rows[r["__column_3"]][0] and r.n_chars == (None if r.Text is None else len(r.Text)) for r in out), name
+        assert stage(spark, docs.limit(0), SMALL).count() == 0, name
+    only = docs.select("doc_id", "Text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, only, SMALL).columns == only.columns, name
