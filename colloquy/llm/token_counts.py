@@ -7,6 +7,7 @@ sequence has a pair left. The symbols that survive are the tokens.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,8 @@ MARK = "▁"
 NONE = np.int64(1) << 60
 #: Distinct pre-tokens a worker remembers, and bytes it handles at once. Both bound memory only, not what is counted.
 REMEMBERED, AT_ONCE = 300_000, 1 << 21
+#: Characters from which a pre-token has a list of its pairs by rank, so that a step costs what it merges.
+LONG = 2000
 
 
 class PairTable:
@@ -62,12 +65,55 @@ class PairTable:
         return out
 
 
+def _fields(data: bytes) -> dict[int, int | bytes]:
+    """The last value of each field of a protocol buffer's message."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            out[key >> 3] = number()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7) or number()
+        out[key >> 3] = data[at : at + size]
+        at += size
+    return out
+
+
+def check_model(data: bytes) -> None:
+    """Raises ValueError for a sentencepiece model that does anything to a text but what PieceCounter does.
+
+    Fixed values of that format: field 2 is the trainer's settings, 3 of these the model's type (2 is BPE), 24 marks at the
+    ends of words; field 3 is the normaliser's, of these 2 its rules, 3 a space before the text, 4 removal of spaces, 5
+    marks for spaces, the last three true unless given."""
+    model = _fields(data)
+    trainer, rules = _fields(model.get(2, b"")), _fields(model.get(3, b""))
+    if trainer.get(3, 1) != 2 or trainer.get(24, 0):
+        raise ValueError("only BPE models with marks before words are supported")
+    if rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):
+        raise ValueError("only models that leave texts as they are but for a space before them are supported")
+
+
 class PieceCounter:
     """Counts tokens as a sentencepiece BPE model with byte fallback does."""
 
     def __init__(self, path: str):
         import sentencepiece
 
+        with open(path, "rb") as f:
+            check_model(f.read())
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         score = {sp.id_to_piece(i): sp.get_score(i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
@@ -95,6 +141,12 @@ class PieceCounter:
 
     def merge(self, texts: list[str]) -> np.ndarray:
         """The number of tokens of each pre-token."""
+        if any(len(t) >= LONG for t in texts):
+            total = np.zeros(len(texts), np.int64)
+            long = np.array([len(t) >= LONG for t in texts])
+            total[long] = [self.merge_long(t) for t, x in zip(texts, long, strict=True) if x]
+            total[~long] = self.merge([t for t, x in zip(texts, long, strict=True) if not x])
+            return total
         total = np.zeros(len(texts), np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         sym = self.char[points].astype(np.int64)
@@ -127,6 +179,71 @@ class PieceCounter:
             sym, seq = sym[keep], seq[keep]
         return total
 
+    def merge_long(self, text: str) -> int:
+        """The number of tokens of one pre-token. The same steps, lowest rank first and all its pairs at once, but places
+        are listed by the rank of the pair that starts there, and symbols linked to their neighbours."""
+        sym = self.char[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)
+        n = len(sym)
+        # Places n and -1, which is the same, stand for the ends; their symbol is in no pair.
+        sym = np.r_[sym, -1]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n] = before[0] = n
+        rank = np.full(n + 1, NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def listed(at: np.ndarray) -> None:
+            right = sym[after[at]]
+            made = np.where(right >= 0, self.pairs.get(sym[at], np.maximum(right, 0)), -1)
+            rank[at] = new = np.where(made >= 0, self.rank[made], NONE)
+            at, new = at[new < NONE], new[new < NONE]
+            if not len(at):
+                return
+            order = np.argsort(new, kind="stable")
+            at, new = at[order], new[order]
+            cut = np.flatnonzero(np.diff(new)) + 1
+            for r, some in zip(new[np.r_[0, cut]].tolist(), np.split(at, cut), strict=True):
+                if r not in places:
+                    heapq.heappush(ranks, r)
+                    places[r] = []
+                places[r].append(some)
+
+        if self.pairs:
+            listed(np.arange(n))
+        while ranks:
+            low = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(low)))
+            at = at[rank[at] == low]
+            if not len(at):
+                continue
+            # Of overlapping pairs the left one goes first: every other one of a run.
+            i = np.arange(len(at))
+            start = np.r_[True, after[at[:-1]] != at[1:]]
+            at = at[(i - np.maximum.accumulate(np.where(start, i, 0))) % 2 == 0]
+            gone = after[at]
+            made = self.pairs.get(sym[at], sym[gone])
+            beside, behind = before[at], after[gone]
+            left = np.where(np.r_[False, behind[:-1] == at[1:]], np.r_[-1, made[:-1]], sym[beside])
+            # A merged symbol can form a pair of a still lower rank, which goes before the merges to its right.
+            sooner = np.zeros(len(at), bool)
+            for ok, x, y in ((left >= 0, left, made), (sym[behind] >= 0, made, sym[behind])):
+                new = self.pairs.get(np.maximum(x, 0), np.maximum(y, 0))
+                sooner |= ok & (new >= 0) & (self.rank[new] < low)
+            if sooner.any():
+                stop = int(sooner.argmax()) + 1
+                if stop < len(at):
+                    heapq.heappush(ranks, low)
+                    places[low] = [at[stop:]]
+                at, gone, made, behind = at[:stop], gone[:stop], made[:stop], behind[:stop]
+            sym[at], rank[gone] = made, NONE
+            sym[gone] = -2
+            after[at] = behind
+            before[behind] = at
+            after[n] = n
+            touched = np.unique(np.r_[before[at], at])
+            listed(touched[touched < n])
+        return int(self.cost[sym[sym >= 0]].sum())
+
     def _in_order(self, sym: np.ndarray, seq: np.ndarray, made: np.ndarray, low: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """Merging from left to right, a merged symbol can form a pair of a still lower rank, which has to go before the
         merges to its right; these wait for the next step."""

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 
 from colloquy.llm.chunk_bpe import UNUSUAL, ChunkCodec, bpe_decode, bpe_digests, bpe_encode, codec, cuts
 from colloquy.llm.queries import QUERIES
-from colloquy.llm.token_counts import PieceCounter, byte_lengths, portions, token_counts
+from colloquy.llm.token_counts import MARK, PieceCounter, byte_lengths, check_model, portions, token_counts
 
 ODD = [" ", "\n", "\t", "▁", "a", "b", "ab", "the", "ing", "<s>", "</s>", "<0x0A>", "é", "梦", "🙂", "\0", "\x85", "　", "'", "'ll", "l", "1", "२", "!", "<|endoftext|>", "<|end", "\U00010940", "՘", "ﬁ", "\r\n"]
 
@@ -44,6 +44,29 @@ def test_counts_equal_the_library(counter, sp):
     assert counter.count([None]) == [0]
 
 
+def test_long_pretokens(counter, sp):
+    """By lists of places: the same counts, and time in proportion."""
+    texts = [t for t in odd_texts(400, 60, 3) if t] + ["a" * 501, "ab" * 300, "abcabcab" * 50]
+    cut = [w for t in texts for w in counter.split(MARK + t.replace(" ", MARK))]
+    assert [counter.merge_long(w) for w in cut] == counter.merge(cut).tolist()
+    rng = random.Random(8)
+    long = ["".join(rng.choice("abcdefghijklmnop é梦") for _ in range(20_000)), "".join(rng.choice("etaoinshrdlu") for _ in range(400_000)), "qu" * 5000, " " * 5000, "x" * 2000 + " y"]
+    start = time.perf_counter()
+    want = [len(sp.encode(t)) for t in long]
+    half = time.perf_counter()
+    assert [counter.count([t])[0] for t in long] == want
+    assert time.perf_counter() - half < 5 + 20 * (half - start)
+
+
+def test_models_that_change_texts_are_refused():
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    check_model(data)
+    for more in (b"\x12\x02\x18\x01", b"\x1a\x02\x18\x00", b"\x1a\x02\x20\x01", b"\x1a\x06\x12\x02ab\x20\x00", b"\x12\x05\x18\x02\xc0\x01\x01"):
+        with pytest.raises(ValueError):
+            check_model(data + more)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=80))
 def test_any_text_counts_as_in_the_library(text):
