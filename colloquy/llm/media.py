@@ -33,35 +33,45 @@ def _token(data: bytes, at: int) -> tuple[bytes, int]:
     return data[start:at], at
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as uint8 or uint16, (height, width) or (height, width, 3). Bits are 0 for white as stored."""
+def _number(data: bytes, at: int, least: int, most: int) -> tuple[int, int]:
+    word, at = _token(data, at)
+    if not word.isdigit() or not least <= int(word) <= most:
+        raise ValueError("bad number in the Netpbm header")
+    return int(word), at
+
+
+def decode_netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """P1 to P6 as uint8 or uint16, (height, width) or (height, width, 3), and the sample that is white. Bits come out as 1
+    for white, so that larger samples are lighter in all kinds."""
     kind, at = _token(data, 0)
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("not Netpbm")
-    w, at = _token(data, at)
-    h, at = _token(data, at)
-    width, height = int(w), int(h)
-    most = 1
-    if kind not in (b"P1", b"P4"):
-        m, at = _token(data, at)
-        most = int(m)
-        if not 0 < most < 65536:
-            raise ValueError("bad maximum")
+    width, at = _number(data, at, 1, 2**31 - 1)
+    height, at = _number(data, at, 1, 2**31 - 1)
+    bits = kind in (b"P1", b"P4")
+    most, at = (1, at) if bits else _number(data, at, 1, 65535)
     depth = 3 if kind in (b"P3", b"P6") else 1
-    n = width * height * depth
+    n, size = width * height * depth, 2 if most > 255 else 1
     if kind in (b"P1", b"P2", b"P3"):
         rest = b"\n".join(line.split(b"#")[0] for line in data[at:].splitlines())
-        words = list(rest.replace(b" ", b"").replace(b"\n", b"").replace(b"\t", b"")) if kind == b"P1" else rest.split()
-        flat = np.array([x - 48 for x in words[:n]] if kind == b"P1" else [int(x) for x in words[:n]], np.uint16 if most > 255 else np.uint8)
-    elif kind == b"P4":
+        words = [b"%c" % x for x in b"".join(rest.split())] if bits else rest.split()
+        words = words[:n] if n <= len(words) else words
+        if not all(w.isdigit() and len(w) < 6 for w in words):
+            raise ValueError("bad Netpbm sample")
+        flat = np.array([int(w) for w in words], np.int64)
+    elif len(data) - at - 1 < (((width + 7) // 8) * height if bits else n * size):
+        raise ValueError("truncated Netpbm samples")
+    elif bits:
         row = (width + 7) // 8
-        packed = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
-        flat = np.unpackbits(packed, axis=1)[:, :width].reshape(-1)
+        flat = np.unpackbits(np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row), axis=1)[:, :width].reshape(-1)
     else:
-        flat = np.frombuffer(data, ">u2" if most > 255 else np.uint8, n, at + 1)
+        flat = np.frombuffer(data, ">u2" if size == 2 else np.uint8, n, at + 1)
     if len(flat) < n:
         raise ValueError("truncated Netpbm samples")
-    return np.ascontiguousarray(flat.reshape((height, width, 3) if depth == 3 else (height, width)))
+    if flat.max() > most:
+        raise ValueError("Netpbm sample above the maximum")
+    flat = (1 - flat if bits else flat).astype(np.uint16 if size == 2 else np.uint8)
+    return np.ascontiguousarray(flat.reshape((height, width, 3) if depth == 3 else (height, width))), most
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -71,16 +81,20 @@ def encode_pgm(samples: np.ndarray) -> bytes:
 
 def decode_bmp(data: bytes) -> np.ndarray:
     """Uncompressed BMP with 8 (grey or palette), 24 or 32 bits, bottom-up or top-down, as RGB or grey uint8."""
-    if data[:2] != b"BM":
+    if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not BMP")
     offset, head, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if packed not in (0, 3) or bits not in (8, 24, 32) or (packed == 3 and bits != 32):
         raise ValueError("BMP variant not supported")
     row = (width * bits // 8 + 3) // 4 * 4
+    if width <= 0 or not height or offset < 14 + head or offset + row * abs(height) > len(data):
+        raise ValueError("bad BMP size")
     rows = np.frombuffer(data, np.uint8, row * abs(height), offset).reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if used > 256 or 14 + head + 4 * used > len(data) or rows[:, :width].max() >= used:
+            raise ValueError("bad BMP palette")
         palette = np.frombuffer(data, np.uint8, 4 * used, 14 + head).reshape(used, 4)[:, 2::-1]
         out = palette[rows[:, :width]]
         return np.ascontiguousarray(out[..., 0] if (palette[:, :1] == palette).all() else out)
@@ -98,8 +112,9 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHIIiiHHIIiiII", 14 + 40 + 1024 + h * row, 0, 0, 14 + 40 + 1024, 40, w, h, 1, 8, 0, h * row, 2835, 2835, 256, 0) + palette.tobytes() + rows.tobytes()
 
 
-def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """The samples of a file, and the sample that is white."""
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else decode_netpbm(data)
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -135,9 +150,9 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tile(image: np.ndarray, side: int = TILE) -> bytes:
-    """A side x side uint8 tile of an image in NPY form."""
-    return npy(np.clip(np.rint(area_resize(grey(image), side, side)), 0, 255).astype(np.uint8))
+def tile(image: np.ndarray, most: int = 255, side: int = TILE) -> bytes:
+    """A side x side uint8 tile of an image in NPY form, scaled so that the sample `most` becomes 255."""
+    return npy(np.clip(np.rint(area_resize(grey(image), side, side) * (255 / most)), 0, 255).astype(np.uint8))
 
 
 def payload_of(text: str | None) -> bytes:
@@ -145,19 +160,21 @@ def payload_of(text: str | None) -> bytes:
     return raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def media_tiles(images: DataFrame, id_col: str = "id", data_col: str = "data", side: int = TILE) -> DataFrame:
+def media_tiles(images: DataFrame, id_col: str = "id", data_col: str = "data", side: int = TILE, most_pixels: int = 100_000_000) -> DataFrame:
     """(id, height, width, tile, dhash, error) of a column of Netpbm or BMP files.
 
-    Null, empty or broken files have nulls and an error text; other columns are not read, repeated rows stay.
+    Null, empty or broken files, such with samples above their maximum or sizes that their bytes don't fill, and files of
+    over `most_pixels` pixels have nulls and an error text; other columns are not read, repeated rows stay. Tiles are
+    scaled by the file's maximum, and bits are black or white as the format has it.
     """
 
     def one(data: bytes | None):
         try:
-            image = decode(data or b"")
-            if not image.size:
-                raise ValueError("no pixels")
-            return (*image.shape[:2], tile(image, side), difference_hash(image), None)
-        except (ValueError, struct.error, IndexError) as e:
+            image, most = decode(data or b"")
+            if image.shape[0] * image.shape[1] > most_pixels:
+                raise ValueError("too many pixels")
+            return (*image.shape[:2], tile(image, most, side), difference_hash(image), None)
+        except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:
             return None, None, None, None, str(e)[:200] or "broken"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +202,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 text = text.as_py()
                 payload = payload_of(text)
                 stored = encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, UNIT))
-                image = decode(stored)
+                image, _ = decode(stored)
                 back = image.tobytes()
                 small = tile(image)
                 rows.append((len((text or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), hashlib.sha256(small).hexdigest(), *((stored, small) if keep_files else ())))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import io
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,18 +108,31 @@ def test_netpbm_and_bmp_round_trips():
     rng = np.random.default_rng(1)
     for h, w in ((1, 64), (7, 64), (30, 3), (33, 9)):
         im = rng.integers(0, 256, (h, w), dtype=np.uint8)
-        assert (M.decode(M.encode_pgm(im)) == im).all() and (M.decode(M.encode_bmp(im)) == im).all()
-    assert M.decode(b"P2 # note\n2 2\n9\n1 2 3 4").tolist() == [[1, 2], [3, 4]]
-    assert M.decode(b"P1\n3 2\n101\n0 1 0").tolist() == [[1, 0, 1], [0, 1, 0]]
-    assert M.decode(b"P4\n3 1\n\xa0").tolist() == [[1, 0, 1]]
-    assert M.decode(b"P3\n1 1\n255\n1 2 3").tolist() == [[[1, 2, 3]]]
-    assert M.decode(b"P6\n1 1\n255\n\x01\x02\x03").tolist() == [[[1, 2, 3]]]
-    assert M.decode(b"P5\n1 1\n65535\n\x01\x02").tolist() == [[258]]
-    for bad in (b"", b"P5\n2 2\n255\nab", b"P9 1 1", b"BMxx", b"P5\n2"):
-        with pytest.raises((ValueError, Exception)):
+        for stored in (M.encode_pgm(im), M.encode_bmp(im)):
+            back, white = M.decode(stored)
+            assert (back == im).all() and white == 255
+    read = lambda b: (M.decode(b)[0].tolist(), M.decode(b)[1])
+    assert read(b"P2 # note\n2 2\n9\n1 2 3 4") == ([[1, 2], [3, 4]], 9)
+    assert read(b"P1\n3 2\n101\n0 1 0") == read(b"P4\n3 2\n\xa0\x40") == ([[0, 1, 0], [1, 0, 1]], 1)  # 1 is black there
+    assert read(b"P3\n1 1\n255\n1 2 3") == read(b"P6\n1 1\n255\n\x01\x02\x03") == ([[[1, 2, 3]]], 255)
+    assert read(b"P5\n1 1\n65535\n\x01\x02") == ([[258]], 65535)
+
+
+#: Broken files: short, unknown, with sizes and samples that the format doesn't allow.
+BAD = [b"", b"P5\n2 2\n255\nab", b"P9 1 1", b"BMxx", b"P5\n2", b"P2\n1 1\n255\n300", b"P1\n2 1\n1-", b"P3\n1 1\n255\n-1 2 3", b"P2\n1 1\n9\n10", b"P5\n1 1\n9\n\x0a", b"P5\n-5 5\n255\nabc", b"P5\n0 5\n255\n", b"P5\n99999999999 99999999999\n255\nx", b"P2\n2000000000 2000000000\n255\n1", b"P2\n1 1\n255\n99999999999999999999", b"P2\n1 1\n70000\n1", b"P5\n1 1\n0\n\0", b"P4\n9 9\n\0", M.encode_bmp(np.zeros((4, 4), np.uint8))[:-1], M.encode_bmp(np.zeros((4, 4), np.uint8))[:60], b"BM" + b"\xff" * 80, b"BM" + b"\0" * 80]
+
+
+def test_broken_media_are_refused():
+    for bad in BAD:
+        with pytest.raises((ValueError, struct.error)):
             M.decode(bad)
 
 
+def test_tiles_scale_by_the_maximum():
+    same = lambda b: np.load(io.BytesIO(M.tile(*M.decode(b)))).flatten()[[0, -1]].tolist()
+    assert same(b"P5\n2 1\n65535\n\xff\xff\x00\x00") == same(b"P1\n2 1\n0 1") == same(b"P2\n2 1\n7\n7 0") == same(M.encode_pgm(np.array([[255, 0]], np.uint8))) == [255, 0]
+
+
 def test_area_resize_against_repeated_pixels():
     rng = np.random.default_rng(2)
     for h, w in ((1, 64), (5, 7), (40, 64)):
@@ -131,10 +145,30 @@ def test_area_resize_against_repeated_pixels():
 
 
 def test_media_columns_of_rows(spark):
-    rows = [(1, b"P5\n2 2\n255\nabcd"), (1, b"P5\n2 2\n255\nabcd"), (2, None), (3, b""), (4, b"P5\n9 9\n255\nx")]
-    got = M.media_tiles(spark.createDataFrame(rows, "id long, data binary")).collect()
+    rows = [(1, b"P5\n2 2\n255\nabcd"), (1, b"P5\n2 2\n255\nabcd"), (2, None), (None, b""), *((4, b) for b in BAD)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, data binary, tile string")
+    got = M.media_tiles(df).collect()
     good, bad = [r for r in got if r.error is None], [r for r in got if r.error]
-    assert len(good) == 2 and len(bad) == 3 and np.load(io.BytesIO(good[0].tile)).shape == (32, 32)
+    assert len(good) == 2 and len(bad) == 2 + len(BAD) and all(r.tile is r.dhash is r.height is None for r in bad)
+    assert M.media_tiles(df, most_pixels=3).where("error is null").isEmpty() and M.media_tiles(df.limit(0)).count() == 0
+    assert np.load(io.BytesIO(good[0].tile)).shape == (32, 32)
+
+
+def test_media_query_on_the_documents(spark):
+    got = {r.doc_id: r for r in QUERIES["op7_media_columns"](spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        raw = (d.text or "").encode()
+        pay = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = b"P5\n64 %d\n255\n" % (len(pay) // 64) + pay
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if len(pay) < 8192:  # areas as means over repeated samples
+            rows = len(pay) // 64
+            small = np.round(np.kron(np.frombuffer(pay, np.uint8).reshape(rows, 64), np.ones((8, 9))).reshape(8, rows, 9, 64).mean((1, 3)), 6)
+            assert r.feature == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
 def test_text_media_against_plain_computation(spark):
