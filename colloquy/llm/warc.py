@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -15,6 +18,8 @@ from colloquy.llm.common import in_batches, without, written
 
 #: Headers of a 304 answer that may replace those of the stored response; all others stay as stored.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
+#: Bytes of a record's own header at most, and of bodies that a task hands on at once.
+HEADER, AT_ONCE = 1 << 20, 4 << 20
 RECORD = "record_id string, kind string, url string, captured long, status int, headers map<string,string>, payload binary, payload_sha256 string, error string"
 _COLUMNS = [f.split()[0] for f in RECORD.split(", ")]
 _ARROW = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.string()]
@@ -53,36 +58,52 @@ def _seconds(date: str) -> int | None:
 
 
 def read_records(data: bytes) -> Iterator[tuple]:
-    """The records of a WARC file; a broken one ends it with a row that says so."""
-    at = 0
-    while at < len(data):
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        end = data.find(b"\r\n\r\n", at)
-        top = _headers(data[at:end]) if data[at : at + 5] == b"WARC/" and end > 0 else None
-        size = top.get("content-length", "") if top is not None else ""
-        if not size.isdigit() or end + 4 + int(size) > len(data):
-            yield (None,) * 8 + ("broken record",)
-            return
-        block = data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
-        head, _, body = block.partition(b"\r\n\r\n")
-        status = re.match(rb"HTTP/\S+ (\d{3})", head)
-        inner = _headers(head.partition(b"\r\n")[2])
-        yield (top.get("warc-record-id", "").strip("<>") or None, top.get("warc-type"), top.get("warc-target-uri"), _seconds(top.get("warc-date", "")), int(status[1]) if status else None, list(inner.items()), body, hashlib.sha256(body).hexdigest(), None)
+    """The records of a WARC file, plain or of gzip members, one after another; a broken one ends it with a row that says
+    so. Only the record at hand is held, besides the file itself."""
+    broken = (None,) * 8 + ("broken record",)
+    f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    try:
+        while line := f.readline(HEADER):
+            if line in (b"\r\n", b"\n"):
+                continue
+            lines = []
+            while line.startswith(b"WARC/") and (more := f.readline(HEADER)) not in (b"", b"\r\n"):
+                lines.append(more)
+                if sum(map(len, lines)) > HEADER:
+                    break
+            top = _headers(b"".join(lines))
+            size = top.get("content-length", "")
+            known = lines and re.fullmatch(r"[0-9]{1,15}", size)
+            block = f.read(int(size)) if known else b""
+            if not known or len(block) < int(size):
+                yield broken
+                return
+            head, _, body = block.partition(b"\r\n\r\n")
+            status = re.match(rb"HTTP/\S+ (\d{3})", head)
+            inner = _headers(head.partition(b"\r\n")[2])
+            yield (top.get("warc-record-id", "").strip("<>") or None, top.get("warc-type"), top.get("warc-target-uri"), _seconds(top.get("warc-date", "")), int(status[1]) if status else None, list(inner.items()), body, hashlib.sha256(body).hexdigest(), None)
+    except (EOFError, OSError, OverflowError, ValueError, zlib.error):
+        yield broken
 
 
 def read_warc(files: DataFrame, data_col: str = "data") -> DataFrame:
     """One row of RECORD for each record of a binary column of WARC files; null and empty files have none."""
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], _COLUMNS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
             for x in b.column(0):
-                rows = list(read_records(x.as_py() or b""))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], _COLUMNS)
+                for row in read_records(x.as_py() or b""):
+                    rows.append(row)
+                    held += 200 + len(row[6] or b"")
+                    if held > AT_ONCE:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
     return in_batches(files.select(files[data_col].alias("data"))).mapInArrow(run, RECORD)
 
@@ -110,13 +131,14 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600) -> DataFram
 
     A revisit with status 304 refers to the latest full response (200 with kind response) of its canonical URL captured
     before it, or at the same second with a smaller record id. It is resolved if its ETag, or without one its Last-Modified,
-    equals that response's; with neither it can't be checked. outcome is full, resolved, validator_mismatch, no_validator,
+    equals that response's; W/ before an ETag doesn't count, as a 304 needs no more than weak equality; with neither it
+    can't be checked. outcome is full, resolved, validator_mismatch, no_validator,
     no_earlier or other (any other record). merged_headers are the stored ones with those of PERMITTED that the 304 has.
 
     The as-of join goes by (URL, time bucket): the last response of each bucket is aggregated first and carried over
     from earlier buckets, and only records of one bucket are ordered among each other, so no URL meets in one task.
-    Bodies don't take part. Records without URL or time match nothing; records that repeat are all kept; an empty table
-    gives an empty result. Other columns stay, but the four that are added are replaced.
+    Bodies don't take part. Records without URL or time match nothing and are not moved; records that repeat are all kept
+    and alike; an empty table gives an empty result. Other columns stay, but the four that are added are replaced.
     """
     r = without(records, "canonical_url", "refers_to", "outcome", "merged_headers").withColumn("canonical_url", canonical_url(F.col("url")))
     kept = [c for c in r.columns if c != "canonical_url"]
@@ -130,13 +152,16 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = 3600) -> DataFram
     before = Window.partitionBy("canonical_url").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.select("canonical_url", "__bucket", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
     within = Window.partitionBy("canonical_url", "__bucket").orderBy("captured", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("__inside", F.last("__stored", ignorenulls=True).over(within))
-    r = r.join(marks, ["canonical_url", "__bucket"], "left").withColumn("__found", F.when(revisit, F.coalesce("__inside", "__carried")))
+    placed = F.col("canonical_url").isNotNull() & F.col("__bucket").isNotNull()
+    inside = r.where(placed).withColumn("__inside", F.last("__stored", ignorenulls=True).over(within))
+    inside = inside.join(marks, ["canonical_url", "__bucket"], "left").withColumn("__found", F.when(revisit, F.coalesce("__inside", "__carried"))).drop("__inside", "__carried")
+    r = inside.unionByName(r.where(~placed).withColumn("__found", F.lit(None).cast(inside.schema["__found"].dataType)))
     old = F.from_json(F.col("__found.headers"), "map<string,string>")
     new = F.col("headers")
     r = r.withColumn("__old", old)
     etag, modified = new["etag"], new["last-modified"]
-    checked = F.when(etag.isNotNull(), F.coalesce(etag == F.col("__old")["etag"], F.lit(False))).when(modified.isNotNull(), F.coalesce(modified == F.col("__old")["last-modified"], F.lit(False)))
+    strong = lambda tag: F.regexp_replace(tag, "^W/", "")
+    checked = F.when(etag.isNotNull(), F.coalesce(strong(etag) == strong(F.col("__old")["etag"]), F.lit(False))).when(modified.isNotNull(), F.coalesce(modified == F.col("__old")["last-modified"], F.lit(False)))
     outcome = F.when(F.col("__full"), "full").when(~revisit, "other").when(F.col("__found").isNull(), "no_earlier").when(checked.isNull(), "no_validator").when(checked, "resolved").otherwise("validator_mismatch")
     r = r.withColumn("outcome", outcome)
     allowed = F.map_filter(new, lambda k, v: k.isin(*PERMITTED))

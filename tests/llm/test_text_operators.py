@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import re
@@ -191,6 +192,26 @@ def test_warc_records_round_trip():
     assert W._headers(b"A: 1\r\n 2\r\nB: x\r\nb: y\r\nbad") == {"a": "1 2", "b": "x, y"}
 
 
+def test_warc_files_of_gzip_members(spark):
+    one = lambda k: W.write_record("response", f"r{k}", f"http://a/{k}", "2024-01-01T00:00:00Z", "200 OK", {}, b"x" * k)
+    plain = b"".join(map(one, range(50)))
+    members = b"".join(gzip.compress(one(k)) for k in range(50))
+    assert list(W.read_records(plain)) == list(W.read_records(members)) == list(W.read_records(gzip.compress(plain)))
+    cut = list(W.read_records(members[:-9]))
+    assert cut[:-1] == list(W.read_records(plain))[: len(cut) - 1] and cut[-1][-1] == "broken record"
+    for bad in (members[:40], b"\x1f\x8bnothing", b"WARC/1.1\r\nContent-Length: -5\r\n\r\n", b"WARC/1.1\r\n\r\n", b"WARC/1.1\r\nContent-Length: 99999999999999999999\r\n\r\nx"):
+        assert list(W.read_records(bad))[-1][-1] == "broken record"
+    files = spark.createDataFrame([(plain,), (members,), (None,), (b"",)], "data binary")
+    got = W.read_warc(files)
+    assert got.count() == 100 and got.select("record_id", "payload_sha256").distinct().count() == 50
+
+
+def test_repeated_records_and_weak_etags(spark):
+    rows = [("a", "response", "u.com", 5, 200, {"etag": 'W/"1"'}, None)] * 2 + [("b", "revisit", "u.com", 9, 304, {"etag": '"1"'}, None)] * 3 + [("c", "revisit", None, 9, 304, {"etag": '"1"'}, None), ("c", "revisit", "u.com", None, 304, None, None)]
+    got = sorted((r.record_id, r.outcome, r.refers_to or "") for r in W.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect())
+    assert got == [("a", "full", "")] * 2 + [("b", "resolved", "a")] * 3 + [("c", "no_earlier", "")] * 2
+
+
 def test_canonical_urls(spark):
     same = ["http://www.Ex.com/a/", "https://ex.com/a#x", "https://ex.com:443/a?utm_source=feed", "http://u:p@EX.com/a/?ref=x", "ex.com/a"]
     other = ["http://ex.com/A", "http://ex.com/a?page=2", "http://ex.com/", None]
