@@ -33,12 +33,13 @@ def _read_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<|nl|>"), F.lit("\n")))
 
 
-def format_chat(turns: DataFrame, budget: int = 1024, history: int = 128) -> DataFrame:
+def format_chat(turns: DataFrame, budget: int = 1024, history: int = 128, tokens_col: str | None = None) -> DataFrame:
     """(conv_id, window, n_repeated, text, loss) for rows of (conv_id, turn, role, text).
 
-    A turn's tokens are its words and MARKS. Spans start at multiples of half of what budget leaves beside history, so a
-    window keeps to the budget (system turn aside) unless one turn alone exceeds that half; turns are never cut. History
-    is the turns of the span before whose tokens together are at most `history`, repeated, as the system turn (a first
+    A turn's tokens are its words and MARKS, which are no model's tokens; tokens_col names a column of counts to take
+    instead (null: 0). Spans start at multiples of half of what budget leaves beside history and the system turn, so a
+    window keeps to the budget unless one turn alone exceeds that half; turns are never cut, and a system turn that leaves
+    nothing stands before one turn at a time. Windows are half full at least where turns are short. History is the turns of the span before whose tokens together are at most `history`, repeated, as the system turn (a first
     turn with role system) is in every later window. n_repeated counts these turns at a window's start. loss has
     (start, end) in code points of text for each assistant text under the mask.
 
@@ -46,21 +47,23 @@ def format_chat(turns: DataFrame, budget: int = 1024, history: int = 128) -> Dat
     and null role are empty; a null conv_id is one conversation. An empty table gives an empty result; other columns are
     not read. Turns meet by conversation, windows are put together one by one.
     """
-    half = max(1, (budget - history) // 2)
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    count = F.coalesce(F.col(tokens_col), F.lit(0)) if tokens_col else F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)) + MARKS
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), count.cast("long").alias("__count"))
     by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     t = t.withColumn("__n", F.row_number().over(by))
     t = t.withColumn("__system", (F.col("__n") == 1) & (F.col("role") == "system"))
-    t = t.withColumn("__tokens", F.when(F.col("__system"), 0).otherwise(F.regexp_count("text", F.lit(WORD)) + MARKS).cast("long"))
+    t = t.withColumn("__tokens", F.when(F.col("__system"), 0).otherwise(F.col("__count")).cast("long"))
     t = t.withColumn("__upto", F.sum("__tokens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     t = t.withColumn("__head", F.max(F.when(F.col("__system"), F.col("text"))).over(Window.partitionBy("conv_id")))
     t = t.withColumn("__last", F.max("__n").over(Window.partitionBy("conv_id")))
-    t = t.withColumn("window", F.floor((F.col("__upto") - F.col("__tokens")) / half))
+    system = F.coalesce(F.max(F.when(F.col("__system"), F.col("__count"))).over(Window.partitionBy("conv_id")), F.lit(0))
+    t = t.withColumn("__half", F.greatest(F.lit(1), F.floor((F.lit(budget - history) - system) / 2)))
+    t = t.withColumn("window", F.floor((F.col("__upto") - F.col("__tokens")) / F.col("__half")))
     span = Window.partitionBy("conv_id", "window")
     t = t.withColumn("__end", F.max("__upto").over(span)).withColumn("__more", F.max("__n").over(span) < F.col("__last"))
     again = F.col("__more") & ~F.col("__system") & (F.col("__end") - F.col("__upto") + F.col("__tokens") <= history)
     own = F.struct(F.col("window"), F.lit(False).alias("again"))
-    later = F.struct(F.floor(F.col("__end") / half).alias("window"), F.lit(True).alias("again"))
+    later = F.struct(F.floor(F.col("__end") / F.col("__half")).alias("window"), F.lit(True).alias("again"))
     t = t.withColumn("__use", F.explode(F.when(again, F.array(own, later)).otherwise(F.array(own))))
     mark = F.concat(F.lit(START), _role(F.col("role")), F.lit("\n"))
     turn = F.struct(F.col("__n").alias("n"), F.col("__use.again").alias("again"), mark.alias("mark"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("target"))

@@ -128,11 +128,12 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{ATTACK}' UNION ALL SELECT -1, 1, 'assistant', '{ATTACK}'),
         o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS n, {_ESCAPED.format('text')} AS chars FROM c),
-        k AS (SELECT *, n = 1 AND role = 'system' AS sys, CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 END AS tokens FROM o),
+        i AS (SELECT *, n = 1 AND role = 'system' AS sys, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) + 4 AS words FROM o),
+        k AS (SELECT *, CASE WHEN sys THEN 0 ELSE words END AS tokens, greatest(1, (896 - coalesce(max(CASE WHEN sys THEN words END) OVER (PARTITION BY conv_id), 0)) // 2) AS half FROM i),
         u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY n) AS upto, max(CASE WHEN sys THEN chars END) OVER (PARTITION BY conv_id) AS head, max(n) OVER (PARTITION BY conv_id) AS last FROM k),
-        w AS (SELECT *, (upto - tokens) // 448 AS win FROM u),
+        w AS (SELECT *, (upto - tokens) // half AS win FROM u),
         e AS (SELECT *, max(upto) OVER (PARTITION BY conv_id, win) AS stop, max(n) OVER (PARTITION BY conv_id, win) < last AS more FROM w),
-        s AS (SELECT conv_id, win, n, role, chars, head FROM e UNION ALL SELECT conv_id, stop // 448, n, role, chars, head FROM e WHERE more AND NOT sys AND stop - upto + tokens <= 128),
+        s AS (SELECT conv_id, win, n, role, chars, head FROM e UNION ALL SELECT conv_id, stop // half, n, role, chars, head FROM e WHERE more AND NOT sys AND stop - upto + tokens <= 128),
         f AS (SELECT conv_id, win, sum(12 + length(role) + 1 + chars + 11) + CASE WHEN min(n) > 1 THEN coalesce(any_value(head) + 30, 0) ELSE 0 END AS chars FROM s GROUP BY conv_id, win),
         g AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id),
         d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss FROM k GROUP BY conv_id)

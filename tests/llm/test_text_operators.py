@@ -160,8 +160,12 @@ def test_formatted_chats_read_back(spark, budget, history):
 
 def test_windows_keep_to_the_budget_and_repeat_system_and_history(spark):
     rows = [(1, 0, "system", "s " * 30), *[(1, k, ("user", "assistant")[k % 2], "w " * (k % 9)) for k in range(1, 80)]]
-    windows = {r.window: r for r in format_chat(spark.createDataFrame(rows, CHAT), 100, 30).collect()}
-    size = lambda t: sum(len(x.split()) - 1 + 4 for x in t.split(END + "\n")[:-1] if not x.startswith(START + "system"))
+    counted = spark.createDataFrame([(*r, len(r[3].split()) + 4) for r in rows], CHAT + ", words int")
+    windows = {r.window: r for r in format_chat(counted.drop("words"), 100, 30).collect()}
+    assert windows == {r.window: r for r in format_chat(counted, 100, 30, tokens_col="words").collect()}
+    long = format_chat(spark.createDataFrame([(1, 0, "system", "s " * 500), *rows[1:9]], CHAT), 100, 30).collect()
+    assert len(long) == 8 and all(r.text.count(START) in (2, 3) for r in sorted(long, key=lambda r: r.window)[1:3])
+    size = lambda t: sum(len(x.split()) - 1 + 4 for x in t.split(END + "\n")[:-1])
     assert len(windows) > 5 and all(size(w.text) <= 100 for w in windows.values())
     later = [w for w in windows.values() if w.n_repeated > 0]
     assert len(later) == len(windows) - 1 and all(w.text.startswith(START + "system\ns ") for w in later)
