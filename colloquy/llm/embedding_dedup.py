@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,19 +23,26 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import in_batches, written
 from colloquy.llm.graph import components
 
-#: Bits of a table's substring, and tables; a code is all substrings.
-BITS, TABLES = 16, 8
 BLOCK = 1000
+log = logging.getLogger(__name__)
 
 
-def table_recall(cosine: float, bits: int = BITS, tables: int = TABLES) -> float:
-    """The share of pairs at that cosine that meet in some table, if bits differ independently: what to choose bits and
-    tables by. Buckets stay small while 2**bits is above the number of classes, so bits go with the logarithm of the
-    corpus, and tables with what keeps this share up."""
+def table_recall(cosine: float, bits: int, tables: int) -> float:
+    """The share of pairs at that cosine that meet in some table, if bits differ independently."""
     p = np.arccos(cosine) / np.pi
     return 1 - (1 - (1 - p) ** bits - bits * p * (1 - p) ** (bits - 1)) ** tables
 
 
+def table_sizes(n: int, cosine: float, recall: float = 0.95) -> tuple[int, int]:
+    """Bits of a table's substring and number of tables for n vectors: as many buckets as vectors, so that a bucket holds a
+    few whatever n is, and as many tables as that share of pairs at the threshold takes. A code is all substrings."""
+    bits = min(30, max(8, int(np.ceil(np.log2(max(n, 2))))))
+    tables = 1
+    while table_recall(cosine, bits, tables) < recall:
+        tables += 1
+    return bits, tables
+
+
 @dataclass
 class Quantiser:
     """Codes are the signs of the unit vector in learned rotations. Rotations are learned on centred vectors, but what is
@@ -42,7 +50,7 @@ class Quantiser:
 
     mean: np.ndarray  # of the sample
     axes: np.ndarray  # dimension x bits of a code
-    bits: int = BITS
+    bits: int
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """(n, tables) substrings as int32."""
@@ -50,7 +58,7 @@ class Quantiser:
         return (bits.reshape(len(unit), -1, self.bits) << np.arange(self.bits)).sum(2).astype(np.int32)
 
 
-def fit_quantiser(unit: np.ndarray, rounds: int = 30, seed: int = 0, bits: int = BITS, tables: int = TABLES) -> Quantiser:
+def fit_quantiser(unit: np.ndarray, bits: int, tables: int, rounds: int = 30, seed: int = 0) -> Quantiser:
     """Iterative quantisation: principal axes, then in turn the nearest binary codes and, by a singular value
     decomposition, the rotation that fits them best. Each rotation starts at random; fewer dimensions than bits of a
     rotation are used again by further rotations."""
@@ -97,22 +105,25 @@ def _apart(x, y):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, n: s + n)
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_000, seed: int = 0, bits: int = BITS, tables: int = TABLES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, cosine: float = 0.9, sample: int = 10_000, seed: int = 0, recall: float = 0.95, bits: int | None = None, tables: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for every id of vectors, all compared by cosine in double precision.
 
     Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components
     link with nothing. Rows that repeat an id are one vector: the least of its arrays. Rows without id are left as they
     are, without links. An empty table gives an empty result, other columns are not read. The quantiser alone is fitted
-    on at most `sample` vectors, the first in a seeded order of hashes; all vectors are indexed. See table_recall() for
-    bits and tables.
+    on at most `sample` vectors, the first in a seeded order of hashes; all vectors are indexed. Bits and tables go with
+    the number of vectors and the recall wanted at the threshold, see table_sizes(), unless both are given.
     """
     raw = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     known = raw.where("id is not null").groupBy("id").agg(F.min("v").alias("v"))
     known = written(known, "vectors")
+    if not (bits and tables):
+        bits, tables = table_sizes(known.count(), cosine, recall)
+        log.info("%d tables of %d bits", tables, bits)
     picked = known.where("v is not null").select("id", "v").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).toArrow().column("v").combine_chunks()
     lengths = np.array([len(x) for x in picked], int)
     dim = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 1
-    model = known.sparkSession.sparkContext.broadcast(fit_quantiser(unit_rows(picked, dim)[0], seed=seed, bits=bits, tables=tables))
+    model = known.sparkSession.sparkContext.broadcast(fit_quantiser(unit_rows(picked, dim)[0], bits, tables, seed=seed))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

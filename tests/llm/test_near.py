@@ -10,7 +10,7 @@ import pytest
 from conftest import SMALL
 
 from colloquy.llm import near_dedup as N
-from colloquy.llm.embedding_dedup import _near_bits, embedding_dedup, fit_quantiser, table_recall
+from colloquy.llm.embedding_dedup import _near_bits, embedding_dedup, fit_quantiser, table_recall, table_sizes
 from colloquy.llm.graph import components
 from colloquy.llm.queries import QUERIES
 
@@ -218,7 +218,7 @@ def test_codes_are_balanced_and_near_vectors_have_near_codes():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 64)) + 0.3
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = fit_quantiser(x)
+    q = fit_quantiser(x, 16, 8)
     bits = (x - q.mean) @ q.axes >= 0
     assert bits.shape[1] == 128 and np.abs(bits.mean(0) - 0.5).max() < 0.1
     y = x + 0.02 * rng.normal(size=x.shape)
@@ -226,14 +226,22 @@ def test_codes_are_balanced_and_near_vectors_have_near_codes():
     assert near < 20 < (bits[:1500] != bits[1500:]).sum(1).mean()
 
 
+def test_tables_go_with_the_corpus():
+    assert table_sizes(0, 0.9)[0] == 8 and table_sizes(1 << 40, 0.9)[0] == 30
+    for n in (6000, 65536, 10**6, 10**8):
+        bits, tables = table_sizes(n, 0.9)
+        assert 2 ** (bits - 1) < n <= 2**bits and table_recall(0.9, bits, tables) >= 0.95 > table_recall(0.9, bits, tables - 1)
+
+
+@pytest.mark.parametrize("bits,tables", [table_sizes(6000, 0.9), (16, 8)])
 @pytest.mark.parametrize("common", [0.0, 0.5, 0.7, 0.8])
-def test_vectors_with_a_common_direction_meet(common):
+def test_vectors_with_a_common_direction_meet(common, bits, tables):
     """Pairs at a cosine of 0.9 and more, all of whose vectors share a direction of that norm."""
     rng = np.random.default_rng(6)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     shared = unit(rng.normal(size=(1, 64)))
     x = unit(common * shared + np.sqrt(1 - common**2) * unit(rng.normal(size=(2000, 64))))
-    q = fit_quantiser(x)
+    q = fit_quantiser(x, bits, tables)
     for cosine in (0.9, 0.92, 0.95):
         # The other vector of a pair, at that cosine, with a common component of the same size.
         side = rng.normal(size=x.shape)
@@ -242,9 +250,9 @@ def test_vectors_with_a_common_direction_meet(common):
         side -= (side * x).sum(1, keepdims=True) * x
         y = cosine * x + np.sqrt(1 - cosine**2) * unit(side)
         apart = np.bitwise_count(q.codes(x) ^ q.codes(y))
-        met = (apart.min(1) <= 1) & (apart.sum(1) <= _near_bits(np.arccos(cosine), 128))
+        met = (apart.min(1) <= 1) & (apart.sum(1) <= _near_bits(np.arccos(cosine), bits * tables))
         print("mean", common, "cosine", cosine, "found", met.mean())
-        assert met.mean() >= table_recall(cosine) - 0.03
+        assert met.mean() >= table_recall(cosine, bits, tables) - 0.03
 
 
 def test_other_tables_find_the_same_groups(spark):
@@ -252,4 +260,4 @@ def test_other_tables_find_the_same_groups(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want, got = vectors_brute(rows), {r.vec_id: r.n_links for r in embedding_dedup(df, bits=20, tables=12).collect()}
     assert sum(got.values()) >= 0.97 * sum(n for n, _ in want.values()) and all(got[i] <= want[i][0] for i in want)
-    assert table_recall(0.9) > 0.94 and table_recall(0.95) > 0.99 and table_recall(0.9, 20, 12) > 0.9
+    assert table_recall(0.9, 20, 12) > 0.9
