@@ -38,8 +38,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epoch
 
 
 def _draw(id_col: Column, text: Column, seed: int) -> list[Column]:
-    """A document's place in the seeded order: a hash of its id, then of its text."""
-    return [F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))).alias("__u"), F.md5(F.coalesce(text, F.lit(""))).alias("__v")]
+    """A document's place in the seeded order: a hash of its id (of its text where the id is null), then of its text."""
+    v = F.md5(F.coalesce(text, F.lit("")))
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.concat(F.lit("null:"), v)))).alias("__u"), v.alias("__v")]
 
 
 def _cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -58,10 +59,13 @@ def _cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
     edge = sums.where((F.col("__upto") >= F.col("__more")) & (F.col("__upto") - F.col("__n") < F.col("__more")))
     edge = edge.select("__source", "__b", "__more", (F.col("__upto") - F.col("__n")).alias("__base"))
     inside = sized.join(edge, F.col("source").eqNullSafe(F.col("__source")) & (bucket == F.col("__b")))
+    # Rows equal in id and text are one entry of the order, and share what it takes.
+    inside = inside.groupBy("__source", "__more", "__base", "__u", "__v").agg(F.sum("size").alias("__n"), F.count(F.lit(1)).alias("__rows"))
     w = Window.partitionBy("__source").orderBy("__u", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("__upto", F.col("__base") + F.sum("size").over(w))
-    cut = inside.where((F.col("__upto") >= F.col("__more")) & (F.col("__upto") - F.col("size") < F.col("__more")))
-    cut = cut.groupBy(F.col("__source").alias("__cut_source")).agg(F.min(F.struct(F.col("__u").alias("u"), F.col("__v").alias("v"))).alias("__cut"), F.min(F.col("__more") - F.col("__upto") + F.col("size")).alias("__part"))
+    inside = inside.withColumn("__upto", F.col("__base") + F.sum("__n").over(w))
+    cut = inside.where((F.col("__upto") >= F.col("__more")) & (F.col("__upto") - F.col("__n") < F.col("__more")))
+    part = F.floor((F.col("__more") - F.col("__upto") + F.col("__n")) / F.col("__rows"))
+    cut = cut.groupBy(F.col("__source").alias("__cut_source")).agg(F.min(F.struct(F.col("__u").alias("u"), F.col("__v").alias("v"))).alias("__cut"), F.min(part).alias("__part"))
     return t.withColumnRenamed("source", "__source").join(cut, F.col("__source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source", "__more")
 
 
@@ -76,8 +80,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: i
     in an order seeded by id until it is used up, the last of them taken in part. So a source's taken words are its
     target, rounded, and no document exceeds epochs times its size.
 
-    Null text has size 0; a null source is a source of its own, after the others; null ids share a place in the
-    order, then go by text. Rows equal in id and text are taken alike. Sources without words have target 0. An empty table
+    Null text has size 0; a null source is a source of its own, after the others; null ids go by their text. Rows equal in
+    id and text are taken alike: where the target is reached among k of them, each takes a k-th, and up to k - 1 words are
+    missing. Sources without words have target 0. An empty table
     gives an empty result. Columns of docs stay, but for those that the result adds.
     """
     docs = without(docs, "size", "source_size", "target", "taken")

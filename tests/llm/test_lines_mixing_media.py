@@ -104,6 +104,16 @@ def test_mixes_reach_their_targets(spark):
     assert mix_sources(df.limit(0)).count() == mix_taken(df.limit(0)).count() == 0
 
 
+def test_equal_rows_share_what_is_taken_at_the_cut(spark):
+    rows = [(1, "w " * 10, "a")] * 1000 + [(None, "v " * 4, "b")] * 300 + [(None, f"n{k} x", "b") for k in range(300)]
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(target[s] - 1000 < taken[s] <= target[s] + 0.5 for s in target) and abs(sum(taken.values()) - 11_800) < 1000
+    assert len({r.taken for r in got if r.doc_id == 1}) == 1
+
+
 def test_netpbm_and_bmp_round_trips():
     rng = np.random.default_rng(1)
     for h, w in ((1, 64), (7, 64), (30, 3), (33, 9)):
