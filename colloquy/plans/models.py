@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from colloquy.functions import domains as D
 from colloquy.operators import vocabulary as V
@@ -83,22 +85,24 @@ def attempts(call: Callable[[], str], n: int = 3, pause: float = 2.0, sleep: Cal
     raise AssertionError
 
 
-def answers(windows: DataFrame, extractor: Extractor, prompt: str = "prompt", text: str = "window_text", partitions: int | None = None) -> DataFrame:
-    """windows with `raw`, the extractor's answer; a window for which it fails has null and so no records."""
+def answers(windows: DataFrame, extractor: Extractor, prompt: str = "prompt", text: str = "window_text", partitions: int | None = None, at_once: int = 4) -> DataFrame:
+    """windows with `raw`, the extractor's answer, and `error`; a window for which it fails has a null answer, and so no
+    records, and the error's text. Each task has at_once calls under way at most. Every reading of the result asks again:
+    write it to a table first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            raw = []
-            for p, t in zip(b[prompt], b[text], strict=True):
-                try:
-                    raw.append(attempts(lambda p=p, t=t: extractor(p, t)))
-                except Exception:  # noqa: BLE001  one failed call costs its window only
-                    raw.append(None)
-            yield b.assign(raw=raw)
+    def one(pair: tuple[str, str]) -> tuple[str | None, str | None]:
+        try:
+            return attempts(lambda: extractor(*pair)), None
+        except Exception as e:  # noqa: BLE001  one failed call costs its window only
+            return None, f"{type(e).__name__}: {e}"[:500]
 
-    from pyspark.sql.types import StringType, StructType
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                got = list(pool.map(one, zip(b[prompt], b[text], strict=True)))
+                yield b.assign(raw=pd.Series([r for r, _ in got], b.index, object), error=pd.Series([e for _, e in got], b.index, object))
 
-    schema = StructType([*windows.schema.fields]).add("raw", StringType())
+    schema = StructType([*windows.schema.fields]).add("raw", StringType()).add("error", StringType())
     w = windows.repartition(partitions) if partitions else windows
     return w.mapInPandas(run, schema)
 
@@ -110,8 +114,6 @@ def embedded(items: DataFrame, embedder: Embedder, label: str = "label") -> Data
         for b in batches:
             yield b.assign(embedding=embedder(b[label].tolist()) if len(b) else [])
 
-    from pyspark.sql.types import ArrayType, DoubleType, StructType
-
     return items.mapInPandas(run, StructType([*items.schema.fields]).add("embedding", ArrayType(DoubleType())))
 
 
@@ -134,7 +136,10 @@ def assigned_names(members: DataFrame, namer: Namer, batch: int = V.BATCH) -> Da
     out, gives no row for it, and vocabulary.named() falls back to its most mentioned label.
     """
     heads = V.representatives(members).groupBy("type", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("phrases"))
-    numbered = heads.withColumn("number", F.row_number().over(Window.orderBy("type", "cluster")) - 1).withColumn("call", F.floor(F.col("number") / batch))
+    calls = F.greatest(F.ceil(F.lit(heads.count()) / batch), F.lit(1))
+    numbered = heads.withColumn("call", F.pmod(F.xxhash64("type", "cluster"), calls)).withColumn("number", F.row_number().over(Window.partitionBy("call").orderBy("type", "cluster")) - 1)
+    # Calls go by hashes, so some get more than a batch; these are split.
+    numbered = numbered.withColumn("call", F.struct("call", F.floor(F.col("number") / batch))).withColumn("number", F.col("number") % batch)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("number")

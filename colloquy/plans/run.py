@@ -12,7 +12,7 @@ from colloquy.operators import sessionize as S
 from colloquy.operators import vocabulary as V
 from colloquy.plans import pipeline as P
 from colloquy.plans import viewer
-from colloquy.plans.models import Embedder, Extractor, Namer, assigned_names, embedded
+from colloquy.plans.models import Embedder, Extractor, Namer
 from colloquy.sources import files
 
 
@@ -32,12 +32,7 @@ def metrics(edges: DataFrame, stances: DataFrame, demographics: DataFrame, gold:
 
 
 def mine(edges: DataFrame, stances: DataFrame, embedder: Embedder, s: Settings, namer: Namer | None = None) -> DataFrame:
-    assignments = None
-    if namer is not None:
-        c = V.candidates(V.label_mentions(edges, stances))
-        members = c.join(V.clusters(embedded(c.select("norm", "type", "label"), embedder), s.cluster_similarity), ["type", "norm"])
-        assignments = assigned_names(members, namer)
-    return P.mine_vocabulary(edges, stances, embedder, s.cluster_similarity, s.merge_similarity, assignments)
+    return P.mine_vocabulary(edges, stances, embedder, s.cluster_similarity, s.merge_similarity, namer)
 
 
 def acquire_vocabulary(turns: DataFrame, out: str, extractor: Extractor, embedder: Embedder, s: Settings, namer: Namer | None = None, remine: bool = False, bootstrap: bool = False) -> DataFrame:
@@ -50,7 +45,7 @@ def acquire_vocabulary(turns: DataFrame, out: str, extractor: Extractor, embedde
         edges, stances = spark.read.parquet(f"{out}/edges"), spark.read.parquet(f"{out}/stances")
     else:
         some = turns.join(S.busiest_tables(turns, s.seed_tables).select("table_id"), "table_id", "left_semi")
-        edges, stances = P.extract(some, extractor, None, s.window_size, s.window_overlap, s.attribution)
+        edges, stances = P.extract(some, extractor, None, s.window_size, s.window_overlap, s.attribution, f"{out}/seed_answers")
     files.write_table(mine(edges, stances, embedder, s, namer), path)
     return spark.read.schema(files.VOCAB_SCHEMA).json(path)
 
@@ -58,12 +53,15 @@ def acquire_vocabulary(turns: DataFrame, out: str, extractor: Extractor, embedde
 def finish(edges: DataFrame, stances: DataFrame, vocab: DataFrame, turns: DataFrame, demographics: DataFrame, out: str, embedder: Embedder, s: Settings, gold: DataFrame | None = None) -> viewer.Store:
     """Grounds stored records, and writes registry, report, graph document, labelling template and metrics."""
     spark = edges.sparkSession
-    e, st, report, grown = P.ground(edges, stances, vocab, embedder, s.ground_similarity)
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        files.write_table(df, f"{out}/{name}")
+        return spark.read.schema(df.schema).json(f"{out}/{name}")
+
+    e, st, _, grown = P.ground(edges, stances, vocab, embedder, s.ground_similarity, lambda report: stored(report, "grounding_report"))
     for name, df in (("grounded_edges", e), ("grounded_stances", st)):
         files.write_facts(df, f"{out}/{name}")
-    files.write_table(report, f"{out}/grounding_report")
-    files.write_table(grown, f"{out}/grown_vocab")
-    files.write_table(V.registry_of(grown), f"{out}/node_registry")
+    files.write_table(V.registry_of(stored(grown, "grown_vocab")), f"{out}/node_registry")
     registry = spark.read.schema(files.REGISTRY_SCHEMA).json(f"{out}/node_registry")
     store = viewer.Store(spark.read.parquet(f"{out}/grounded_edges"), spark.read.parquet(f"{out}/grounded_stances"), registry, demographics)
     viewer.document_json(viewer.graph_document(store), f"{out}/graph_data")
@@ -79,7 +77,7 @@ def run_pipeline(spark: SparkSession, segments: DataFrame, demographics: DataFra
     turns = spark.read.parquet(f"{out}/canonical_turns")
     vocab = acquire_vocabulary(turns, out, extractor, embedder, s, namer, remine, bootstrap)
     chosen = turns if busiest is None else turns.join(S.busiest_tables(turns, busiest).select("table_id"), "table_id", "left_semi")
-    edges, stances = P.extract(chosen, extractor, vocab, s.window_size, s.window_overlap, s.attribution)
+    edges, stances = P.extract(chosen, extractor, vocab, s.window_size, s.window_overlap, s.attribution, f"{out}/answers")
     files.write_facts(edges, f"{out}/edges")
     files.write_facts(stances, f"{out}/stances")
     return post_process(spark, demographics, out, embedder, s, gold)

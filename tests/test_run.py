@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections import Counter
 
 from colloquy.config import Settings
 from colloquy.operators import vocabulary as V
 from colloquy.plans import models as M
+from colloquy.plans import pipeline as P
 from colloquy.plans import run as R
 
 SEG = "ord int, table_id string, round_id string, room_id string, participant_id string, speaker string, start_time double, end_time double, transcript string"
@@ -31,6 +34,39 @@ def test_a_run_and_its_second_half(spark, tmp_path):
     assert set(R.metrics(store.edges.limit(0), store.stances, people)) == {"totals"}
 
 
+def test_every_window_is_asked_once(spark, tmp_path):
+    class Counting:
+        def __init__(self, at):
+            self.at = at
+
+        def __call__(self, prompt, text):
+            with open(f"{self.at}/{uuid.uuid4().hex}", "w") as f:
+                f.write(text)
+            if "jobs" in text and "slow" in text:
+                raise OSError("down")
+            return M.WordPairs()(prompt, text)
+
+    rows = [(k, "t", "1", "r", f"p{k}", f"Name{k}", 10.0 * k, 10.0 * k + 5, f"word{k} follows here {'jobs slow' if k == 9 else ''}") for k in range(20)]
+    segments, people = spark.createDataFrame(rows, SEG), spark.createDataFrame([], WHO)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    out = str(tmp_path / "out")
+    R.run_pipeline(spark, segments, people, out, Counting(str(calls)), M.HashedLetters(), Settings(salt="s"), namer())
+    answers, seed = spark.read.parquet(f"{out}/answers"), spark.read.parquet(f"{out}/seed_answers")
+    asked = [p.read_text() for p in calls.iterdir()]
+    assert len(asked) == answers.count() + seed.count() and max(Counter(asked).values()) == 2  # with and without the vocabulary
+    assert {r.error for r in answers.where("raw is null").collect()} == {"OSError: down"}
+    for p in calls.iterdir():
+        p.unlink()
+    turns = spark.read.parquet(f"{out}/canonical_turns")
+    edges, stances = P.extract(turns, Counting(str(calls)))
+    assert edges.count() and stances.count() and len(list(calls.iterdir())) == answers.count()
+
+
+def namer():
+    return lambda batch: [(n, phrases[0], kind) for n, kind, phrases in batch]
+
+
 def test_names_come_from_the_namer_or_the_most_mentioned_label(spark):
     class Upper:
         def __call__(self, batch):

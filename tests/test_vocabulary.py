@@ -101,7 +101,7 @@ def test_a_failing_extractor_costs_its_window(spark):
             return "{}"
 
     w = spark.createDataFrame([("p", "good"), ("p", "bad")], "prompt string, window_text string")
-    assert {r.window_text: r.raw for r in M.answers(w, Picky()).collect()} == {"good": "{}", "bad": None}
+    assert {r.window_text: (r.raw, r.error) for r in M.answers(w, Picky()).collect()} == {"good": ("{}", None), "bad": (None, "OSError: down")}
 
 
 def test_empty_tables(spark):
