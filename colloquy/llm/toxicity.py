@@ -61,10 +61,16 @@ class FactorizationMachine:
 
 
 class _Rows:
-    """Sparse rows of terms: (row, column) of each entry, in both orders."""
+    """Sparse rows of terms, each 1, by row and by column, in 4-byte numbers: 8 bytes an entry. No column is empty."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, k: int):
-        self.rows, self.cols, self.n, self.k = rows, cols, n, k
+        """rows ascending; cols ascending within a row."""
+        self.n, self.k, self.cols = n, k, cols
+        self.each, self.seen = np.bincount(rows, minlength=n), np.bincount(cols, minlength=k)
+        self.by_cols = rows[np.argsort(cols, kind="stable")]
+        self.some = np.flatnonzero(self.each)
+        self.row_starts = (np.cumsum(self.each) - self.each)[self.some]
+        self.col_starts = np.cumsum(self.seen) - self.seen
 
     def of(self, keep: np.ndarray) -> _Rows:
         """With the columns that keep names alone, numbered anew."""
@@ -72,13 +78,21 @@ class _Rows:
         place[keep] = np.arange(len(keep), dtype=np.int32)
         new = place[self.cols]
         ok = new >= 0
-        return _Rows(self.rows[ok], new[ok], self.n, len(keep))
+        return _Rows(np.repeat(np.arange(self.n, dtype=np.int32), self.each)[ok], new[ok], self.n, len(keep))
+
+    def lengths(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's number of terms against the mean, and each column's share of rows: their product is how often a term
+        is expected in a document of that length."""
+        return self.each / max(self.each.mean(), 1), self.seen / self.n
 
     def by_row(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights[self.cols], self.n)
+        out = np.zeros(self.n)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(weights.astype(np.float32)[self.cols], self.row_starts, dtype=np.float64)
+        return out
 
     def by_col(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, weights[self.rows], self.k)
+        return np.add.reduceat(weights.astype(np.float32)[self.by_cols], self.col_starts, dtype=np.float64) if self.k else np.zeros(0)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -87,25 +101,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _weights(x: _Rows, y: np.ndarray, c: np.ndarray, z: float, rate: float = 0.1, steps: int = 100) -> tuple[float, np.ndarray]:
     """Bias and weights of a logistic regression by thresholded steps: in each, every term whose residuals are still more
-    than z standard errors from 0 moves by rate at most, until none is. Terms that say the same share its weight, which
-    is steadier than the choice of one; terms that say nothing never move. Terms that can't move yet are looked at every
-    ten steps."""
+    than z standard errors from 0 moves by rate at most, until none is. Terms that say the same share its weight, which is
+    steadier than the choice of one; terms that say nothing beyond how long a document is never move. Terms that can't
+    move yet are looked at every ten steps."""
     p = (c * y).sum() / c.sum()
     bias, w = float(np.log(p / (1 - p))), np.zeros(x.k)
-    error = np.sqrt(np.bincount(x.cols, minlength=x.k) * ((c * (y - p)) ** 2).mean()) + 1e-12
-    active, part = np.zeros(0, np.int64), x.of(np.zeros(0, np.int64))
+    error = np.sqrt(x.seen * ((c * (y - p)) ** 2).mean()) + 1e-12
+    long, share = x.lengths()
+    active, part, sums = np.zeros(0, np.int64), x.of(np.zeros(0, np.int64)), np.zeros(x.n)
     for step in range(steps):
-        g = c * (_sigmoid(bias + part.by_row(w[active])) - y)
+        g = c * (_sigmoid(bias + sums) - y)
         if step % 10 == 0:
-            far = np.flatnonzero((np.abs(x.by_col(g)) > 0.8 * z * error) | (w != 0))
-            active, part = far, x.of(far)
-        far = part.by_col(g) / error[active]
+            active = np.flatnonzero((np.abs(x.by_col(g) - share * (long @ g)) > 0.8 * z * error) | (w != 0))
+            part = x.of(active)
+        far = (part.by_col(g) - share[active] * (long @ g)) / error[active]
         move = np.sign(far) * np.clip(np.abs(far) - z, 0, 1)
         if not move.any() and step % 10 == 0:
             break
-        w[active] -= rate * move
+        # Many terms that move at once must not overshoot: the mean document goes by half at most.
+        change = part.by_row(rate * move)
+        damped = min(1.0, 0.5 / max(float((c * np.abs(change)).sum()), 1e-12))
+        w[active] -= damped * rate * move
+        sums -= damped * change
         for _ in range(2):
-            q = _sigmoid(bias + part.by_row(w[active]))
+            q = _sigmoid(bias + sums)
             bias -= float((c * (q - y)).sum() / max((c * q * (1 - q)).sum(), 0.01 * c.sum()))
     return bias, w
 
@@ -115,10 +134,9 @@ def _directions(x: _Rows, g: np.ndarray, factors: int, rounds: int, seed: int) -
 
     Terms count by their deviation from how often they occur in documents of that many terms, so words of every text have
     no say; rare ones are shrunk, and long documents weigh as much as short ones. A term's occurrence with itself is no pair."""
-    each = np.bincount(x.rows, minlength=x.n)
-    h, long = g / np.maximum(each, 1), each / max(each.mean(), 1)
-    seen = np.bincount(x.cols, minlength=x.k)
-    share, d = seen / x.n, seen / (seen + 0.01 * x.n)
+    long, share = x.lengths()
+    h = g / np.maximum(x.each, 1)
+    d = share / (share + 0.01)
     own = x.by_col(h) - 2 * share * x.by_col(h * long) + (h * long**2).sum() * share**2
 
     def times(v: np.ndarray) -> np.ndarray:
@@ -166,10 +184,11 @@ def _refined(x: _Rows, y: np.ndarray, c: np.ndarray, bias: float, weights: np.nd
     return float(params[0][0]), params[1], params[2]
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z: float = 2.75, factors: int = 4, margin: float = 1.5, epochs: int = 30, shrink: float = 2e-3, balance: float = 1.0, seed: int = 0) -> FactorizationMachine:
+def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z: float = 3.0, tiny: float = 0.02, factors: int = 4, margin: float = 1.5, epochs: int = 30, shrink: float = 2e-3, balance: float = 1.0, seed: int = 0) -> FactorizationMachine:
     """Learns from documents as arrays of hashed terms. Equal documents count once.
 
-    1. Weights over all terms of at least `least` documents, by penalties of z standard errors.
+    1. Weights over all terms of at least `least` documents, by thresholds of z standard errors; those below `tiny`, a
+       fifth of a step, are zero.
     2. Up to `factors` directions in which pairs of terms explain the residuals, those `margin` times as strong as the
        strongest one of residuals in random order. Loads below a twentieth of a direction's largest are zero.
     3. Weights and vectors of terms that have any, fitted together in `epochs` steps, four times as many where there are
@@ -188,15 +207,21 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, least: int = 3, z: float = 2.
         share = (n1 + 0.5) / (n + 1)
         return FactorizationMachine(np.zeros(0, np.int32), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
     flat, of = np.concatenate(docs), np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
-    seen = np.bincount(flat, minlength=1 << BITS)
-    x = _Rows(of, flat, n, 1 << BITS).of(terms := np.flatnonzero(seen >= least).astype(np.int32))
+    del docs
+    terms = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= least).astype(np.int32)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[terms] = np.arange(len(terms), dtype=np.int32)
+    flat = place[flat]
+    x = _Rows(of[flat >= 0], flat[flat >= 0], n, len(terms))
+    del flat, of
     c = np.where(y == 1, (n / n1) ** balance, (n / (n - n1)) ** balance)
     c /= c.sum()
     bias, w = _weights(x, y, c, z)
+    w[np.abs(w) < tiny] = 0
     g = c * (y - _sigmoid(bias + x.by_row(w)))
-    found, strength = _directions(x, g, factors, 25, seed)
+    found, strength = _directions(x, g, factors, 16, seed)
     order = np.random.default_rng(seed).permutation(n)
-    chance = _directions(x, g[order], 1, 15, seed)[1][:1].max(initial=0.0)
+    chance = _directions(x, g[order], 1, 10, seed)[1][:1].max(initial=0.0)
     ok = strength > max(margin * chance, 0)
     v = found[:, ok] * np.sign(found[np.abs(found[:, ok]).argmax(0), np.arange(ok.sum())]) if ok.any() else np.zeros((x.k, 0))
     most = np.abs(v).max(0, initial=1e-12)
@@ -224,7 +249,7 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 5000, sample_clean: int = 9000, sample_terms: int = 8_000_000, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample_toxic: int = 5000, sample_clean: int = 9000, sample_terms: int = 6_000_000, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> FactorizationMachine:
     """Fits the machine on labelled rows that are not held out: at most sample_toxic and sample_clean of either class,
     those first in a seeded order of hashes, and of these, in that order, as many as have sample_terms terms together. So
     the broadcast of their ids is bounded, and what the driver gets: 4 bytes a term.
