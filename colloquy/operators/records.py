@@ -98,12 +98,12 @@ CUES = {
 
 
 def causal_cues(turns: DataFrame) -> DataFrame:
-    """(turn_id, cue, relation, left, right) for each causal phrase in a turn's sentences, and the words around it."""
+    """(turn_id, cue, relation, left, right) for each causal phrase in a turn's sentences, and the words around it up to the
+    phrases beside it."""
     sentence = F.explode(F.filter(F.split("text", r"[.!?\n]+"), lambda s: F.trim(s) != ""))
+    pattern = rf"(?i)\b(?:{'|'.join(sorted(CUES, key=len, reverse=True))})\b"
     t = turns.select("turn_id", sentence.alias("sentence"))
-    cues = sorted(CUES, key=len, reverse=True)
-    pattern = rf"(?i)^(.*?)\b({'|'.join(cues)})\b(.*)$"
-    t = t.where(F.col("sentence").rlike(pattern))
-    cue = F.lower(F.regexp_extract("sentence", pattern, 2))
-    relation = F.create_map(*[F.lit(x) for kv in CUES.items() for x in kv])[cue]
-    return t.select("turn_id", cue.alias("cue"), relation.alias("relation"), F.trim(F.regexp_extract("sentence", pattern, 1)).alias("left"), F.trim(F.regexp_extract("sentence", pattern, 3)).alias("right"))
+    t = t.select("turn_id", F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)).alias("cues"), F.split("sentence", pattern).alias("parts")).where(F.size("cues") > 0)
+    t = t.select("turn_id", "parts", F.posexplode("cues").alias("at", "cue")).withColumn("cue", F.lower("cue"))
+    relation = F.create_map(*[F.lit(x) for kv in CUES.items() for x in kv])[F.col("cue")]
+    return t.select("turn_id", "cue", relation.alias("relation"), F.trim(F.get("parts", F.col("at"))).alias("left"), F.trim(F.get("parts", F.col("at") + 1)).alias("right"))

@@ -16,8 +16,8 @@ from colloquy.operators import records as R
 from colloquy.operators import sessionize as S
 from colloquy.operators import vocabulary as V
 from colloquy.operators.filters import Selection, clean_demographics, dimension_counts, in_segment, select_edges, select_stances, with_group
-from colloquy.plans import viewer
-from colloquy.plans.models import WordPairs, answers
+from colloquy.plans import run, viewer
+from colloquy.plans.models import WordPairs, answers, assigned_names
 from colloquy.plans.pipeline import prompts
 from colloquy.sources import files
 from colloquy.sources import fixtures as X_
@@ -62,11 +62,28 @@ class Tables:
 
     @property
     def vocab(self) -> DataFrame:
-        """Every second concept by label, with another concept's number as an alias."""
-        return self.r.where("CAST(split_part(node_id, ' ', 2) AS INT) % 2 = 0").select(
-            F.col("node_id").alias("concept_id"), "label", "type", F.array(F.concat(F.lit("Concept  "), (F.split_part("node_id", F.lit(" "), F.lit(2)).cast("int") + 1).cast("string"))).alias("aliases"),
-            F.split_part("node_id", F.lit(" "), F.lit(2)).cast("int").alias("ord"), F.lit(7).cast("long").alias("mention_count"),
-        )
+        """Every fourth concept by label, with the next concept as an alias; the one after that is near by its vector, and
+        the last of four is unknown."""
+        k = F.split_part("node_id", F.lit(" "), F.lit(2)).cast("int")
+        return self.r.where(k % 4 == 0).select(F.col("node_id").alias("concept_id"), "label", "type", F.array(F.concat(F.lit("Concept  "), (k + 1).cast("string"))).alias("aliases"), k.alias("ord"), F.lit(7).cast("long").alias("mention_count"))
+
+    @property
+    def similar(self) -> DataFrame:
+        """(norm, concept_id): what the vectors of mentions without an exact match are near to."""
+        m = V.exact_matches(V.collected_mentions(self.mentions), self.vocab).where("method is null")
+        m = m.select(F.col("norm").alias("key"), F.lit("any").alias("type"), _angle(F.split_part("norm", F.lit(" "), F.lit(2)).cast("int")).alias("embedding"))
+        v = self.vocab.select(F.col("concept_id").alias("concept"), F.lit("any").alias("type"), _angle(F.col("ord")).alias("embedding"), "ord")
+        return V.nearest(m, v, 0.99).where("grounded").select(F.col("key").alias("norm"), F.col("concept").alias("concept_id"))
+
+    @property
+    def report(self) -> DataFrame:
+        return V.grounded(V.collected_mentions(self.mentions), self.vocab, self.similar)
+
+
+def _angle(k):
+    """A unit vector for each concept: groups of four lie 0.3 apart; the third is 0.05 and the last 0.15 off the first."""
+    a = F.floor(k / 4) * 0.3 + F.element_at(F.array(*map(F.lit, (0.0, 0.0, 0.05, 0.15))), (k % 4 + 1).cast("int"))
+    return F.array(F.cos(a), F.sin(a))
 
 
 def query(sql: str | None = None, fixtures: str = ""):
@@ -207,9 +224,9 @@ def segment_edges(t):
     return in_segment(t.e, t.d, SEG_B.segment).select("edge_id", "participant_id")
 
 
-@query("SELECT edge_id, relation FROM e WHERE stance = 'asserted' AND table_id = 'CHINA' OR FALSE", "e")
+@query("SELECT edge_id, relation FROM e WHERE stance = 'asserted' AND table_id = 'NATION_3'", "e")
 def table_stance_filter(t):
-    return select_edges(t.e, t.r, t.d, Selection(table_id="CHINA", stance="asserted")).select("edge_id", "relation")
+    return select_edges(t.e, t.r, t.d, Selection(table_id="NATION_3", stance="asserted")).select("edge_id", "relation")
 
 
 @query(f",, c AS ({_CLEAN}), p AS (SELECT * FROM c WHERE participant_id IN (SELECT participant_id FROM e)), l AS (SELECT 'political_affiliation' AS dimension, political_affiliation AS value FROM p UNION ALL SELECT 'age_group', age_group FROM p UNION ALL SELECT 'sex', sex FROM p UNION ALL SELECT 'ethnicity', ethnicity FROM p) SELECT dimension, value, count(*) AS participants FROM l WHERE value IS NOT NULL GROUP BY dimension, value", "e d")
@@ -301,9 +318,9 @@ def polarity_divergence(t):
     return C.polarity_divergence(*t.store.picked(SEG_A), *t.store.picked(SEG_B))
 
 
-@query(_POL2 + " SELECT count(*) AS concepts, count(*) FILTER (divergence >= 0.1) AS diverging FROM j", "e s d")
+@query(_POL2 + " SELECT count(*) AS concepts, count(*) FILTER (divergence >= 0.5) AS diverging, count(*) FILTER (divergence >= 0.02) AS slightly FROM j", "e s d")
 def diverging_concepts(t):
-    return C.polarity_divergence(*t.store.picked(SEG_A), *t.store.picked(SEG_B)).agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("divergence") >= 0.1).alias("diverging"))
+    return C.polarity_divergence(*t.store.picked(SEG_A), *t.store.picked(SEG_B)).agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("divergence") >= 0.5).alias("diverging"), F.count_if(F.col("divergence") >= 0.02).alias("slightly"))
 
 
 @query(_SEGS + f", a AS ({_DEGREE.format('ea')}), b AS ({_DEGREE.format('eb')}) SELECT node_id, abs(coalesce(CAST(a.degree AS DOUBLE) / (SELECT greatest(max(degree), 1) FROM a), 0) - coalesce(CAST(b.degree AS DOUBLE) / (SELECT greatest(max(degree), 1) FROM b), 0)) AS score FROM a FULL JOIN b USING (node_id)", "e d")
@@ -451,33 +468,38 @@ def mentions(t):
     return V.collected_mentions(t.mentions)
 
 
-_GROUNDED = _COLLECTED + ", vo AS (SELECT node_id AS concept_id, label, CAST(split_part(node_id, ' ', 2) AS INT) AS ord FROM r WHERE CAST(split_part(node_id, ' ', 2) AS INT) % 2 = 0), gr AS (SELECT norm, co.label, CASE WHEN a.concept_id IS NOT NULL THEN 'exact_label' WHEN b.concept_id IS NOT NULL THEN 'alias' ELSE 'new_concept' END AS method, coalesce(a.concept_id, b.concept_id, 'concept_' || substr(sha256(norm), 1, 12)) AS concept_id FROM co LEFT JOIN vo a ON a.label = co.norm LEFT JOIN vo b ON 'concept ' || (b.ord + 1) = co.norm)"
+_ANGLE = "CAST({0} // 4 AS DOUBLE) * 0.3::DOUBLE + [0.0, 0.0, 0.05, 0.15][CAST({0} % 4 + 1 AS INT)]::DOUBLE"
+_GROUNDED = (
+    _COLLECTED
+    + ", vo AS (SELECT node_id AS concept_id, label, CAST(split_part(node_id, ' ', 2) AS INT) AS ord FROM r WHERE CAST(split_part(node_id, ' ', 2) AS INT) % 4 = 0), ex AS (SELECT co.*, CAST(split_part(norm, ' ', 2) AS INT) AS k, a.concept_id AS by_label, b.concept_id AS by_alias FROM co LEFT JOIN vo a ON a.label = co.norm LEFT JOIN vo b ON 'concept ' || (b.ord + 1) = co.norm)"
+    + f", si AS (SELECT norm, concept_id AS near, cos({_ANGLE.format('k')}) * cos({_ANGLE.format('ord')}) + sin({_ANGLE.format('k')}) * sin({_ANGLE.format('ord')}) AS sim, row_number() OVER (PARTITION BY norm ORDER BY sim DESC, ord) AS n FROM ex CROSS JOIN vo WHERE by_label IS NULL AND by_alias IS NULL)"
+    + ", gr AS (SELECT norm, ex.label, ex.type, CASE WHEN by_label IS NOT NULL THEN 'exact_label' WHEN by_alias IS NOT NULL THEN 'alias' WHEN sim >= 0.99 THEN 'embedding' ELSE 'new_concept' END AS method, coalesce(by_label, by_alias, CASE WHEN sim >= 0.99 THEN near END, 'concept_' || substr(sha256(norm), 1, 12)) AS concept_id FROM ex LEFT JOIN si USING (norm) WHERE coalesce(n, 1) = 1)"
+)
 
 
-@query(_GROUNDED + " SELECT norm, nullif(method, 'new_concept') AS method, CASE WHEN method <> 'new_concept' THEN concept_id END AS concept_id FROM gr", "e s r")
+@query(_GROUNDED + " SELECT norm, CASE WHEN method IN ('exact_label', 'alias') THEN method END AS method, CASE WHEN method IN ('exact_label', 'alias') THEN concept_id END AS concept_id FROM gr", "e s r")
 def ground_exact_alias(t):
     return V.exact_matches(V.collected_mentions(t.mentions), t.vocab).select("norm", "method", "concept_id")
 
 
 @query(_GROUNDED + " SELECT norm, method, concept_id FROM gr", "e s r")
 def grounding_report(t):
-    return V.grounded(V.collected_mentions(t.mentions), t.vocab).select("norm", "method", "concept_id")
+    return t.report.select("norm", "method", "concept_id")
 
 
 @query(_GROUNDED + " SELECT method, count(*) AS mentions FROM gr GROUP BY method", "e s r")
 def grounding_methods(t):
-    return V.grounded(V.collected_mentions(t.mentions), t.vocab).groupBy("method").agg(F.count(F.lit(1)).alias("mentions"))
+    return t.report.groupBy("method").agg(F.count(F.lit(1)).alias("mentions"))
 
 
 @query(_GROUNDED + f" SELECT edge_id, a.concept_id AS source_node_id, b.concept_id AS target_node_id FROM e LEFT JOIN gr a ON a.norm = {NORM.format('source_label')} LEFT JOIN gr b ON b.norm = {NORM.format('target_label')}", "e s r")
 def grounded_edges(t):
-    report = V.grounded(V.collected_mentions(t.mentions), t.vocab)
-    return V.grounded_edges(t.e, report.select("norm", "concept_id")).select("edge_id", "source_node_id", "target_node_id")
+    return V.grounded_edges(t.e, t.report.select("norm", "concept_id")).select("edge_id", "source_node_id", "target_node_id")
 
 
-@query(_GROUNDED + " SELECT concept_id, label, 7 AS mention_count FROM vo UNION ALL SELECT gr.concept_id, gr.norm, co.mentions FROM gr JOIN co USING (norm) WHERE method = 'new_concept'", "e s r")
+@query(_GROUNDED + ", mo AS (SELECT concept_id, string_agg('|' || label, '' ORDER BY label) AS more FROM gr WHERE method = 'embedding' GROUP BY concept_id) SELECT concept_id, label, 'Concept  ' || (ord + 1) || coalesce(more, '') AS aliases, 7 AS mention_count FROM vo LEFT JOIN mo USING (concept_id) UNION ALL SELECT gr.concept_id, gr.norm, co.label, co.mentions FROM gr JOIN co USING (norm) WHERE method = 'new_concept'", "e s r")
 def grown_vocabulary(t):
-    return V.grown(t.vocab, V.grounded(V.collected_mentions(t.mentions), t.vocab)).select("concept_id", "label", "mention_count")
+    return V.grown(t.vocab, t.report).select("concept_id", "label", F.array_join("aliases", "|").alias("aliases"), "mention_count")
 
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -499,9 +521,9 @@ def vocab_block(t):
     return V.vocabulary_block(_entries(t), 20)
 
 
-@query("SELECT node_id, label, type FROM r", "r")
+@query("SELECT node_id, label, type, 'Concept  ' || (CAST(split_part(node_id, ' ', 2) AS INT) + 1) AS aliases FROM r WHERE CAST(split_part(node_id, ' ', 2) AS INT) % 4 = 0", "r")
 def registry(t):
-    return V.registry_of(t.r.select(F.col("node_id").alias("concept_id"), "label", "type", F.array("label").alias("aliases"))).drop("aliases")
+    return V.registry_of(t.vocab).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query(f",, m AS (SELECT source_label AS label, source_type AS type, edge_id AS record, 0 AS side FROM e UNION ALL SELECT target_label, target_type, edge_id, 1 FROM e), n AS (SELECT *, {NORM.format('label')} AS norm, row_number() OVER (ORDER BY record, side) AS place FROM m), f AS (SELECT norm, label, min(place) AS first FROM n GROUP BY norm, label), a AS (SELECT norm, string_agg(label, '|' ORDER BY first) AS aliases FROM f GROUP BY norm) SELECT 'node_' || substr(sha256(n.norm), 1, 12) AS node_id, n.norm AS label, arg_min(type, place) AS type, any_value(aliases) AS aliases FROM n JOIN a ON a.norm = n.norm GROUP BY n.norm", "e")
@@ -540,9 +562,26 @@ def vocabulary_assembly(t):
 _CUE = "relation IN ('" + "', '".join(sorted(set(R.CUES) & set(D.RELATIONS))) + "')"
 
 
-@query(f"SELECT edge_id AS turn_id, relation AS cue, relation, trim(source_label) AS \"left\", trim(target_label) AS \"right\" FROM e WHERE {_CUE}", "e")
+@query(f"SELECT edge_id AS turn_id, relation AS cue, relation, trim(source_label) AS \"left\", trim(target_label) AS \"right\" FROM e WHERE {_CUE} UNION ALL SELECT edge_id, 'due to', 'causes', CASE WHEN {_CUE} THEN trim(target_label) ELSE trim(concat_ws(' ', source_label, relation, target_label)) END, speaker FROM e", "e")
 def causal_cues(t):
-    return R.causal_cues(t.e.select(F.col("edge_id").alias("turn_id"), F.concat_ws(" ", "source_label", "relation", "target_label").alias("text")))
+    return R.causal_cues(t.e.select(F.col("edge_id").alias("turn_id"), F.concat_ws(" ", "source_label", "relation", "target_label", F.lit("due to"), "speaker").alias("text")))
+
+
+@query("SELECT edge_id, NOT (CAST(split_part(edge_id, '-', 2) AS INT) IN (1, 2, 3, 4)) AS valid, CASE WHEN CAST(split_part(edge_id, '-', 2) AS INT) IN (1, 2, 3, 4) THEN 0 ELSE 1 END AS strict_edges, CASE CAST(split_part(edge_id, '-', 2) AS INT) WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE 1 END AS loose_edges FROM e", "e")
+def invalid_records(t):
+    """Answers with an unknown relation, a confidence above 1, no evidence, or an invalid stance beside a valid edge."""
+    n = F.split_part("edge_id", F.lit("-"), F.lit(2)).cast("int")
+    edge = F.struct("source_label", "source_type", "target_label", "target_type", F.when(n == 1, "is like").otherwise(F.col("relation")).alias("relation"), F.when(n != 3, F.col("evidence_text")).alias("evidence_text"), "stance", "polarity", "explicitness", F.when(n == 2, 1.5).otherwise(F.col("confidence")).alias("confidence"))
+    stance = F.struct(F.col("source_label").alias("concept_label"), F.when(n == 4, "no type").otherwise("topic").alias("concept_type"), "polarity", "evidence_text", "explicitness", "confidence")
+    w = t.e.select("edge_id", F.to_json(F.struct(F.array(edge).alias("edges"), F.array(stance).alias("stances"))).alias("raw"))
+    both = R.extracted(R.extracted(w).select("edge_id", "raw", "valid", F.size("edges").alias("strict_edges")), strict=False)
+    return both.select("edge_id", "valid", "strict_edges", F.size("edges").alias("loose_edges"))
+
+
+@query(f"SELECT DISTINCT {NORM.format('target_label')} AS norm FROM e", "e")
+def speaker_labels_left_out(t):
+    named = t.e.withColumn("source_label", F.concat(F.lit("Speaker_"), "participant_id"))
+    return V.candidates(V.label_mentions(named)).select("norm")
 
 
 # ---- evaluation and export
@@ -613,6 +652,28 @@ def demographics_merge(t):
     return files.demographics(files.merge_cohorts(_cohorts(t)))
 
 
+@query(_SEGS2 + ", ends AS (SELECT source_node_id AS id FROM ea UNION ALL SELECT target_node_id FROM ea UNION ALL SELECT concept_node_id FROM sa UNION ALL SELECT source_node_id FROM eb UNION ALL SELECT target_node_id FROM eb UNION ALL SELECT concept_node_id FROM sb) SELECT r.node_id, count(ends.id) AS weight FROM r LEFT JOIN ends ON ends.id = r.node_id GROUP BY r.node_id", "e s d r")
+def compare_weights(t):
+    return viewer.compare_view(t.store, SEG_A, SEG_B)["nodes"].select("node_id", "weight")
+
+
+@query(_GROUPED + f", q AS (SELECT {KEYS}, bool_or(grp = 'AUTOMOBILE') AS in_a, bool_or(grp = 'BUILDING') AS in_b FROM ge WHERE grp IN ('AUTOMOBILE', 'BUILDING') AND source_node_id IS NOT NULL AND target_node_id IS NOT NULL GROUP BY {KEYS}) SELECT 'AUTOMOBILE' AS group_a, 'BUILDING' AS group_b, count(*) FILTER (in_a AND in_b) AS shared_triples, count(*) FILTER (in_a AND NOT in_b) AS only_a_triples, count(*) FILTER (in_b AND NOT in_a) AS only_b_triples, CAST(count(*) FILTER (in_a AND in_b) AS DOUBLE) / count(*) AS triple_jaccard FROM q", "e s d")
+def group_overlap_headline(t):
+    return run.metrics(t.e, t.s, t.d)["group_overlap"]
+
+
+@query(_FAMILY + " SELECT type, cluster, CASE WHEN cluster % 2 = 0 THEN type || '/' || cluster ELSE arg_min(label, struct_pack(a := -mentions, b := norm)) END AS canonical_label FROM fa GROUP BY type, cluster", "e s")
+def assigned_cluster_names(t):
+    """A namer that names every second cluster by its first phrase's family; the others keep their own name."""
+    members = _families(t)
+
+    def namer(batch):
+        family = lambda phrase: int(phrase.split()[1]) % 5
+        return [(n, f"{kind}/{family(phrases[0])}", kind) for n, kind, phrases in batch if family(phrases[0]) % 2 == 0] + [(-1, "x", "topic"), (0, "x", "no type")][:1]
+
+    return V.named(members, assigned_names(members, namer, 4)).select("type", "cluster", "canonical_label")
+
+
 # ---- wider measures
 
 
@@ -643,9 +704,10 @@ def round_evolution(t):
 
 @query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 9) AS similarity FROM v a JOIN v b ON a.type = b.type AND a.vec_id < b.vec_id WHERE {_DOT} >= 0.3 AND NOT (a.vec_id % 7 = 0 AND b.vec_id % 3 = 0)", "v")
 def merge_proposals(t):
+    """With a reviewer's decisions on some of them: rejected ones go, approved ones stay."""
     v = t.v.withColumnRenamed("vec_id", "key")
-    p = V.merge_proposals(v, 0.3)
-    return p.where("NOT (a % 7 = 0 AND b % 3 = 0)").withColumn("similarity", F.round("similarity", 9))
+    reviewed = V.merge_proposals(v, 0.3).where("b % 3 = 0").select("a", "b", F.expr("CASE WHEN a % 7 = 0 THEN 'reject' ELSE 'approve' END").alias("action"))
+    return V.merge_proposals(v, 0.3, reviewed).withColumn("similarity", F.round("similarity", 9))
 
 
 _REVIEWS = "SELECT edge_id, k AS review_id, k % 3 AS reviewed_at, CASE (ln + k) % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'edit' ELSE 'flip' END AS action, 'reports' AS new_relation FROM (SELECT edge_id, CAST(split_part(edge_id, '-', 2) AS INT) AS ln, CAST(split_part(edge_id, '-', 3) AS INT) AS pk FROM e) CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) q WHERE pk % 5 = 0"

@@ -46,7 +46,7 @@ SELECT DISTINCT concat('concept ', p_partkey % 50) AS node_id, concat('concept '
 
 #: Utterance input: integer microseconds, so gaps are exact.
 SEGMENTS = """
-SELECT event_id AS ord, CAST(user_id AS STRING) AS table_id, 'r1' AS round_id, 'room' AS room_id, CAST(user_id AS STRING) AS participant_id, event_type AS speaker,
+SELECT event_id AS ord, CAST(user_id AS STRING) AS table_id, concat('r', event_id % 3) AS round_id, 'room' AS room_id, CAST(user_id AS STRING) AS participant_id, event_type AS speaker,
   {micros} AS start_time, {micros} + CAST(round(value * 1000000) AS BIGINT) AS end_time, concat(' ', event_type, ' ', event_id, ' ') AS transcript
 FROM {events}"""
 MICROS = {"spark": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)", "duckdb": "epoch_us(ts)"}
