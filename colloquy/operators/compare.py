@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import domains as D
 from colloquy.functions.text import polarity_sign, present
 from colloquy.operators.filters import with_group
-from colloquy.operators.graph import TRIPLE, degrees, node_polarity, viewer_edges
+from colloquy.operators.graph import TRIPLE, mentions_of
 
 
 def available_groups(edges: DataFrame, stances: DataFrame, demographics: DataFrame, attribute: str = "political_affiliation", compat: bool = True) -> DataFrame:
@@ -75,36 +75,50 @@ def edge_divergence(presence: DataFrame, a: str, b: str, n: int | None = 40) ->
     return d if n is None else d.orderBy(F.when(F.col("only_in") == a, 0).otherwise(1), *TRIPLE).limit(n)
 
 
-def compare_links(edges_a: DataFrame, edges_b: DataFrame) -> DataFrame:
-    """Links of two segments side by side. Counts and speakers are sums (a participant of both counts twice), means
-    and has_inferred are the first segment's where it has the link."""
-    a, b = viewer_edges(edges_a), viewer_edges(edges_b)
-    b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in TRIPLE]
-    j = a.join(b, on, "full")
-    here, there = F.col("mention_count").isNotNull(), F.col("b_mention_count").isNotNull()
-    both = lambda c: F.coalesce(c, F.lit(0)) + F.coalesce(f"b_{c}", F.lit(0))
-    pick = lambda c: F.when(here, F.col(c)).otherwise(F.col(f"b_{c}"))
-    return j.select(*[pick(k).alias(k) for k in TRIPLE], both("mention_count").alias("mention_count"), both("unique_speakers").alias("unique_speakers"), *[pick(c).alias(c) for c in ("mean_confidence", "mean_polarity", "has_inferred")], F.when(here & there, "both").when(here, "a").otherwise("b").alias("presence"))
-
-
-def polarity_divergence(edges_a: DataFrame, stances_a: DataFrame, edges_b: DataFrame, stances_b: DataFrame) -> DataFrame:
-    """Each node's distance between two segments' mean polarity, 0 standing for no mention."""
-    a = node_polarity(edges_a, stances_a).select("node_id", F.col("mean_polarity").alias("polarity_a"))
-    b = node_polarity(edges_b, stances_b).select("node_id", F.col("mean_polarity").alias("polarity_b"))
-    j = a.join(b, "node_id", "full").select("node_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("polarity_a", "polarity_b")])
+def flagged(facts: DataFrame, picked_a: DataFrame, picked_b: DataFrame, key: str) -> DataFrame:
+    """facts that either segment shows, with in_a and in_b, from the keys that each shows."""
+    marks = picked_a.select(key, F.lit(True).alias("__a"), F.lit(False).alias("__b")).union(picked_b.select(key, F.lit(False), F.lit(True)))
+    marks = marks.groupBy(key).agg(F.bool_or("__a").alias("in_a"), F.bool_or("__b").alias("in_b"))
+    return facts.join(marks, key)
+
+
+def compare_links(edges: DataFrame) -> DataFrame:
+    """Links of two segments side by side, from edges with in_a and in_b, in one pass. Counts and speakers are sums (a
+    participant of both counts twice), means and has_inferred are the first segment's where it has the link.
+
+    Sums are taken for each participant of a link first, so speakers are counted without a set of them."""
+    micros = F.round(F.col("confidence") * 1_000_000).cast("long")
+    inferred = F.col("explicitness").isin("inferred", "near_explicit")
+    parts, sums, side = [], [], {}
+    for g in "ab":
+        mine = F.col(f"in_{g}")
+        parts += [F.count_if(mine).alias(f"n_{g}"), F.sum(F.when(mine, polarity_sign(F.col("polarity")))).alias(f"sign_{g}"), F.sum(F.when(mine, micros)).alias(f"micros_{g}"), F.count(F.when(mine, micros)).alias(f"rated_{g}"), F.bool_or(F.when(mine, inferred)).alias(f"inferred_{g}")]
+        sums += [F.sum(f"{c}_{g}").alias(f"{c}_{g}") for c in ("n", "sign", "micros", "rated")] + [F.bool_or(f"inferred_{g}").alias(f"inferred_{g}"), F.count_if((F.col(f"n_{g}") > 0) & F.col("participant_id").isNotNull()).alias(f"speakers_{g}")]
+        side[g] = (F.try_divide(F.try_divide(f"micros_{g}", f"rated_{g}"), F.lit(1_000_000.0)).alias("mean_confidence"), F.try_divide(f"sign_{g}", f"n_{g}").alias("mean_polarity"), F.col(f"inferred_{g}").alias("has_inferred"))
+    j = edges.groupBy(*TRIPLE, "participant_id").agg(*parts).groupBy(*TRIPLE).agg(*sums)
+    here, there = F.col("n_a") > 0, F.col("n_b") > 0
+    shown = [F.when(here, a).otherwise(b).alias(name) for a, b, name in zip(side["a"], side["b"], ("mean_confidence", "mean_polarity", "has_inferred"), strict=True)]
+    return j.where(here | there).select(*TRIPLE, (F.col("n_a") + F.col("n_b")).alias("mention_count"), (F.col("speakers_a") + F.col("speakers_b")).alias("unique_speakers"), *shown, F.when(here & there, "both").when(here, "a").otherwise("b").alias("presence"))
+
+
+def polarity_divergence(edges: DataFrame, stances: DataFrame) -> DataFrame:
+    """Each node's distance between two segments' mean polarity, 0 standing for no mention, from facts with in_a and in_b."""
+    m = mentions_of(edges, stances, "in_a", "in_b")
+    mean = lambda g: F.coalesce(F.try_divide(F.sum(F.when(F.col(f"in_{g}"), F.col("sign"))), F.count_if(f"in_{g}")), F.lit(0.0))
+    j = m.where("in_a or in_b").groupBy("node_id").agg(mean("a").alias("polarity_a"), mean("b").alias("polarity_b"))
     return j.withColumn("divergence", F.abs(F.col("polarity_a") - F.col("polarity_b")))
 
 
-def differential_centrality(links_a: DataFrame, links_b: DataFrame) -> DataFrame:
-    """The distance of a node's degrees in two segments, each relative to the segment's highest (at least 1)."""
-
-    def relative(links: DataFrame, name: str) -> DataFrame:
-        top = F.greatest(F.max("degree").over(Window.partitionBy()), F.lit(1))
-        return degrees(links).select("node_id", (F.col("degree") / top).alias(name))
-
-    j = relative(links_a, "a").join(relative(links_b, "b"), "node_id", "full")
-    return j.select("node_id", F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("score"))
+def differential_centrality(edges: DataFrame) -> DataFrame:
+    """The distance of a node's degrees in two segments, each relative to the segment's highest (at least 1), from edges
+    with in_a and in_b."""
+    ends = edges.where(present(F.col("source_node_id")) & present(F.col("target_node_id")))
+    both = ends.select(F.col("source_node_id").alias("node_id"), F.col("target_node_id").alias("other"), "in_a", "in_b").union(ends.select("target_node_id", "source_node_id", "in_a", "in_b"))
+    pairs = both.groupBy("node_id", "other").agg(F.bool_or("in_a").alias("in_a"), F.bool_or("in_b").alias("in_b"))
+    n = pairs.groupBy("node_id").agg(F.count_if("in_a").alias("a"), F.count_if("in_b").alias("b")).where("a + b > 0")
+    top = n.agg(*[F.greatest(F.coalesce(F.max(c), F.lit(1)), F.lit(1)).alias(f"top_{c}") for c in "ab"]).withColumn("__all", F.lit(1))
+    j = n.withColumn("__all", F.lit(1)).join(F.broadcast(top), "__all")
+    return j.select("node_id", F.abs(F.col("a") / F.col("top_a") - F.col("b") / F.col("top_b")).alias("score"))
 
 
 def group_report(edges: DataFrame, stances: DataFrame, demographics: DataFrame, attribute: str = "political_affiliation", a: str | None = None, b: str | None = None, top_n: int = 40, compat: bool = True) -> dict:

@@ -79,8 +79,8 @@ def select_stances(stances: DataFrame, registry: DataFrame, demographics: DataFr
 
 
 def with_group(facts: DataFrame, demographics: DataFrame, attribute: str = "political_affiliation") -> DataFrame:
-    """Facts with the participant's value of an attribute, Unknown where there is none."""
-    who = demographics.select("participant_id", F.col(attribute).alias("__group")).dropDuplicates(["participant_id"])
+    """Facts with the participant's value of an attribute, Unknown where there is none; of several the least."""
+    who = demographics.groupBy("participant_id").agg(F.min(attribute).alias("__group"))
     return facts.join(who, "participant_id", "left").withColumn("group", F.coalesce("__group", F.lit(D.UNKNOWN))).drop("__group")
 
 

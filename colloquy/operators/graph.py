@@ -48,25 +48,25 @@ def edge_speakers(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*TRIPLE).agg(F.array_sort(F.collect_set("participant_id")).alias("speaker_ids"))
 
 
-def _mentions(edges: DataFrame, stances: DataFrame | None = None) -> DataFrame:
-    """(node_id, sign) for each end of an edge, and each stance's concept; null and empty ids count for nothing."""
-    out = edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"), polarity_sign(F.col("polarity")).alias("sign"))
+def mentions_of(edges: DataFrame, stances: DataFrame | None = None, *more: str) -> DataFrame:
+    """(node_id, sign, *more) for each end of an edge, and each stance's concept; null and empty ids count for nothing."""
+    out = edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"), polarity_sign(F.col("polarity")).alias("sign"), *more)
     if stances is not None:
-        out = out.union(stances.select("concept_node_id", polarity_sign(F.col("polarity"))))
+        out = out.union(stances.select("concept_node_id", polarity_sign(F.col("polarity")), *more))
     return out.where(present(F.col("node_id")))
 
 
 def node_weights(edges: DataFrame, registry: DataFrame, stances: DataFrame | None = None) -> DataFrame:
     """Every node of the registry, and any other that is mentioned, with its mentions: ends of edges (both of a loop), and
     stances if given. Nodes without mentions have weight 0."""
-    n = _mentions(edges, stances).groupBy("node_id").agg(F.count(F.lit(1)).alias("weight"))
+    n = mentions_of(edges, stances).groupBy("node_id").agg(F.count(F.lit(1)).alias("weight"))
     nodes = registry.select("node_id", "label", "type")
     return nodes.join(n, "node_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)).cast("long"))
 
 
 def node_polarity(edges: DataFrame, stances: DataFrame) -> DataFrame:
     """Mean sign over all mentions of a node, and their number."""
-    return _mentions(edges, stances).groupBy("node_id").agg((F.sum("sign") / F.count(F.lit(1))).alias("mean_polarity"), F.count(F.lit(1)).alias("mentions"))
+    return mentions_of(edges, stances).groupBy("node_id").agg((F.sum("sign") / F.count(F.lit(1))).alias("mean_polarity"), F.count(F.lit(1)).alias("mentions"))
 
 
 def aggregate_stances(stances: DataFrame) -> DataFrame:
@@ -102,12 +102,18 @@ def top_central(scores: DataFrame, weights: DataFrame, n: int = 15, score: str =
     return scores.where(F.col(score) > 0).join(seen, "node_id", "left_semi").orderBy(F.desc(score), "node_id").limit(n)
 
 
+def relative_to_highest(nodes: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """nodes beside the highest value of a column (at least 1), which is one row that is joined to all, and that value."""
+    top = nodes.agg(F.greatest(F.coalesce(F.max(column), F.lit(1)), F.lit(1)).alias("__top")).withColumn("__all", F.lit(1))
+    return nodes.withColumn("__all", F.lit(1)).join(F.broadcast(top), "__all").drop("__all"), F.col("__top")
+
+
 def visual_encoding(links: DataFrame, weights: DataFrame, central: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes that a drawing gives to links and nodes."""
     drawn = links.select(*TRIPLE, F.least(F.greatest(F.col("mention_count").cast("double"), F.lit(2.0)), F.lit(7.0)).alias("width_by_count"), F.least(F.greatest(F.col("unique_speakers") * 1.5, F.lit(1.0)), F.lit(6.0)).alias("width_by_speakers"), (F.col("mean_confidence") * 0.65 + 0.35).alias("opacity"), F.col("has_inferred").alias("dashed"))
-    top = F.max("weight").over(Window.partitionBy())
+    weights, top = relative_to_highest(weights, "weight")
     nodes = weights.join(central.select("node_id", F.lit(True).alias("central")), "node_id", "left")
-    radius = F.when(F.col("weight") > 0, F.col("weight") * 20.0 / F.greatest(top, F.lit(1)) + 6).otherwise(4.0) + F.when(F.col("central"), 6.0).otherwise(0.0)
+    radius = F.when(F.col("weight") > 0, F.col("weight") * 20.0 / top + 6).otherwise(4.0) + F.when(F.col("central"), 6.0).otherwise(0.0)
     return drawn, nodes.select("node_id", "weight", radius.alias("radius"), F.coalesce("central", F.lit(False)).alias("central"))
 
 
@@ -118,8 +124,9 @@ def node_links(links: DataFrame, node_id: str) -> DataFrame:
 
 
 def edge_evidence(edges: DataFrame, demographics: DataFrame, source: str, target: str) -> DataFrame:
-    """All evidence between two concepts with speaker and affiliation; a blank affiliation is Unknown."""
-    who = demographics.select("participant_id", "political_affiliation").dropDuplicates(["participant_id"])
+    """All evidence between two concepts with speaker and affiliation; a blank affiliation is Unknown, of several the least
+    that is not blank counts."""
+    who = demographics.groupBy("participant_id").agg(F.min(F.nullif("political_affiliation", F.lit(""))).alias("political_affiliation"))
     e = edges.where((F.col("source_node_id") == source) & (F.col("target_node_id") == target)).join(who, "participant_id", "left")
     return e.select("edge_id", "relation", "evidence_text", "speaker", F.coalesce(F.nullif("political_affiliation", F.lit("")), F.lit(D.UNKNOWN)).alias("affiliation"), "stance", "polarity")
 

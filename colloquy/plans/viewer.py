@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from colloquy.functions.text import polarity_label, short_label
 from colloquy.operators import compare as C
 from colloquy.operators import evaluate as E
 from colloquy.operators import graph as G
-from colloquy.operators.filters import Selection, select_edges, select_stances
+from colloquy.operators.filters import Selection, in_segment, select_edges, select_stances
 from colloquy.operators.records import raw_edges, raw_stances
 
 
@@ -24,6 +24,18 @@ class Store:
     registry: DataFrame
     demographics: DataFrame
 
+    def compared(self, a: Selection, b: Selection) -> tuple[DataFrame, DataFrame]:
+        """(edges, stances) that either selection shows, with in_a and in_b: facts are read once beside the flags. Where both
+        selections differ in nothing but the participants' segment, the flags come from the participants alone."""
+        same = replace(a, segment={}) == replace(b, segment={})
+        if same:
+            who = [in_segment(self.demographics, self.demographics, s.segment).select("participant_id").distinct() if s.segment else None for s in (a, b)]
+            if None not in who:
+                base = replace(a, segment={})
+                return tuple(C.flagged(f, *who, "participant_id") for f in self.picked(base))
+        (ea, sa), (eb, sb) = self.picked(a), self.picked(b)
+        return C.flagged(self.edges, ea, eb, "edge_id"), C.flagged(self.stances, sa, sb, "stance_id")
+
     def picked(self, s: Selection) -> tuple[DataFrame, DataFrame]:
         return select_edges(self.edges, self.registry, self.demographics, s), select_stances(self.stances, self.registry, self.demographics, s)
 
@@ -40,10 +52,11 @@ def single_view(store: Store, s: Selection = Selection(), hide_isolated: bool =
 
 def compare_view(store: Store, a: Selection, b: Selection) -> dict[str, DataFrame]:
     """The same for two segments: links with presence, summed weights, divergence and differential centrality."""
-    (ea, sa), (eb, sb) = store.picked(a), store.picked(b)
-    weights = G.node_weights(ea.unionByName(eb), store.registry, sa.unionByName(sb))
-    central = G.top_central(C.differential_centrality(G.viewer_edges(ea), G.viewer_edges(eb)), weights)
-    return {"links": C.compare_links(ea, eb), "nodes": weights, "divergence": C.polarity_divergence(ea, sa, eb, sb), "central": central}
+    edges, stances = store.compared(a, b)
+    twice = lambda facts: facts.where("in_a").drop("in_a", "in_b").unionByName(facts.where("in_b").drop("in_a", "in_b"))
+    weights = G.node_weights(twice(edges), store.registry, twice(stances))
+    central = G.top_central(C.differential_centrality(edges), weights)
+    return {"links": C.compare_links(edges), "nodes": weights, "divergence": C.polarity_divergence(edges, stances), "central": central}
 
 
 def visible(edges: DataFrame, stances: DataFrame, registry: DataFrame, shown: DataFrame) -> DataFrame:

@@ -307,7 +307,7 @@ def degree(t):
 
 @query(_SEGS + f", a AS ({_VIEW.format('ea')}), b AS ({_VIEW.format('eb')}) SELECT coalesce(a.source_node_id, b.source_node_id) AS source_node_id, coalesce(a.target_node_id, b.target_node_id) AS target_node_id, coalesce(a.relation, b.relation) AS relation, coalesce(a.mention_count, 0) + coalesce(b.mention_count, 0) AS mention_count, coalesce(a.unique_speakers, 0) + coalesce(b.unique_speakers, 0) AS unique_speakers, coalesce(a.mean_confidence, b.mean_confidence) AS mean_confidence, coalesce(a.mean_polarity, b.mean_polarity) AS mean_polarity, coalesce(a.has_inferred, b.has_inferred) AS has_inferred, CASE WHEN a.relation IS NOT NULL AND b.relation IS NOT NULL THEN 'both' WHEN a.relation IS NOT NULL THEN 'a' ELSE 'b' END AS presence FROM a FULL JOIN b ON a.source_node_id IS NOT DISTINCT FROM b.source_node_id AND a.target_node_id IS NOT DISTINCT FROM b.target_node_id AND a.relation = b.relation", "e d")
 def compare_links(t):
-    return C.compare_links(t.store.picked(SEG_A)[0], t.store.picked(SEG_B)[0])
+    return C.compare_links(t.store.compared(SEG_A, SEG_B)[0])
 
 
 _POL2 = _SEGS2 + f", a AS ({_POLARITY.format('ea', 'sa')}), b AS ({_POLARITY.format('eb', 'sb')}), j AS (SELECT node_id, coalesce(a.mean_polarity, 0) AS polarity_a, coalesce(b.mean_polarity, 0) AS polarity_b, abs(coalesce(a.mean_polarity, 0) - coalesce(b.mean_polarity, 0)) AS divergence FROM a FULL JOIN b USING (node_id))"
@@ -315,17 +315,17 @@ _POL2 = _SEGS2 + f", a AS ({_POLARITY.format('ea', 'sa')}), b AS ({_POLARITY.for
 
 @query(_POL2 + " SELECT * FROM j", "e s d")
 def polarity_divergence(t):
-    return C.polarity_divergence(*t.store.picked(SEG_A), *t.store.picked(SEG_B))
+    return C.polarity_divergence(*t.store.compared(SEG_A, SEG_B))
 
 
 @query(_POL2 + " SELECT count(*) AS concepts, count(*) FILTER (divergence >= 0.5) AS diverging, count(*) FILTER (divergence >= 0.02) AS slightly FROM j", "e s d")
 def diverging_concepts(t):
-    return C.polarity_divergence(*t.store.picked(SEG_A), *t.store.picked(SEG_B)).agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("divergence") >= 0.5).alias("diverging"), F.count_if(F.col("divergence") >= 0.02).alias("slightly"))
+    return C.polarity_divergence(*t.store.compared(SEG_A, SEG_B)).agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("divergence") >= 0.5).alias("diverging"), F.count_if(F.col("divergence") >= 0.02).alias("slightly"))
 
 
 @query(_SEGS + f", a AS ({_DEGREE.format('ea')}), b AS ({_DEGREE.format('eb')}) SELECT node_id, abs(coalesce(CAST(a.degree AS DOUBLE) / (SELECT greatest(max(degree), 1) FROM a), 0) - coalesce(CAST(b.degree AS DOUBLE) / (SELECT greatest(max(degree), 1) FROM b), 0)) AS score FROM a FULL JOIN b USING (node_id)", "e d")
 def differential_centrality(t):
-    return C.differential_centrality(G.viewer_edges(t.store.picked(SEG_A)[0]), G.viewer_edges(t.store.picked(SEG_B)[0]))
+    return C.differential_centrality(t.store.compared(SEG_A, SEG_B)[0])
 
 
 @query(f",, g AS ({_DEGREE.format('e')}) SELECT node_id, degree FROM g ORDER BY degree DESC, node_id LIMIT 15", "e")

@@ -102,13 +102,26 @@ def test_fewer_than_two_groups_give_a_short_report(spark):
     assert none.triple_jaccard == 0
 
 
+def side(df, a, b):
+    return df.withColumns({"in_a": F.lit(a), "in_b": F.lit(b)})
+
+
+def test_facts_of_both_segments_carry_both_flags(spark):
+    e = edges(spark, [("a", "b", "causes", p, "supports") for p in "ppqr"])
+    who = spark.createDataFrame([("p",), ("q",)], "participant_id string"), spark.createDataFrame([("q",)], "participant_id string")
+    got = sorted((r.participant_id, r.in_a, r.in_b) for r in C.flagged(e, *who, "participant_id").collect())
+    assert got == [("p", True, False), ("p", True, False), ("q", True, True)]
+    link = C.compare_links(C.flagged(e, *who, "participant_id")).collect()[0]
+    assert (link.mention_count, link.unique_speakers, link.presence) == (4, 3, "both")
+
+
 def test_compare_sums_speakers_and_keeps_the_first_means(spark):
     a, b = edges(spark, [("a", "b", "causes", "p", "supports"), (None, "b", "causes", "p", "supports")]), edges(spark, [("a", "b", "causes", "p", "opposes"), (None, "b", "causes", "q", "opposes"), ("c", "b", "causes", "p", "opposes")])
-    got = {(r.source_node_id): (r.mention_count, r.unique_speakers, r.mean_polarity, r.presence, r.has_inferred) for r in C.compare_links(a, b).collect()}
+    got = {(r.source_node_id): (r.mention_count, r.unique_speakers, r.mean_polarity, r.presence, r.has_inferred) for r in C.compare_links(side(a, True, False).union(side(b, False, True))).collect()}
     assert got == {"a": (2, 2, 1.0, "both", True), None: (2, 2, 1.0, "both", True), "c": (1, 1, -1.0, "b", True)}
 
 
 def test_causal_cues(spark):
-    t = spark.createDataFrame([("u1", "Tax cuts lead somewhere. Cuts to youth services increases crime! It fell due to rain"), ("u2", "nothing"), ("u3", None)], "turn_id string, text string")
+    t = spark.createDataFrame([("u1", "Tax cuts lead somewhere. Cuts to youth services increases crime! It fell due to rain"), ("u2", "nothing"), ("u3", None), ("u4", "A increases B and reduces C")], "turn_id string, text string")
     got = sorted((r.cue, r.relation, r.left, r.right) for r in R.causal_cues(t).collect())
-    assert got == [("due to", "causes", "It fell", "rain"), ("increases", "increases", "Cuts to youth services", "crime")]
+    assert got == [("due to", "causes", "It fell", "rain"), ("increases", "increases", "A", "B and"), ("increases", "increases", "Cuts to youth services", "crime"), ("reduces", "reduces", "B and", "C")]
