@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import hashed_id, is_speaker_label, normal, stripped
@@ -45,35 +45,72 @@ def collected_mentions(mentions: DataFrame) -> DataFrame:
     return m.groupBy("norm").agg(stripped(F.min_by("label", "place")).alias("label"), F.min_by("type", "place").alias("type"), F.sum("n").alias("mentions"))
 
 
-def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
-    """Cluster numbers by average linkage on cosine distance: the closest two clusters merge while they are nearer than
-    distance. Numbers go by each cluster's first row."""
-    n = len(vectors)
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+def _parts(unit: np.ndarray, distance: float, block: int = 1024) -> np.ndarray:
+    """For each row the first row of its component in the graph of pairs nearer than distance; clusters never reach across
+    components. Distances are taken block by block."""
+    label = np.arange(len(unit))
+    while True:
+        new = label.copy()
+        for at in range(0, len(unit), block):
+            near = 1 - unit[at : at + block] @ unit.T < distance
+            near[np.arange(len(near)), at + np.arange(len(near))] = True
+            new[at : at + block] = np.where(near, label[None, :], len(unit)).min(1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _linked(unit: np.ndarray, distance: float) -> np.ndarray:
+    """Average linkage of one component: chains of nearest neighbours, whose ends merge. As clusters that merge never come
+    nearer to others by that, a pair that is too far apart is final."""
+    n = len(unit)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, head, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    while alive.sum() > 1:
-        flat = int(np.argmin(d))
-        i, j = divmod(flat, n)
+    size, head, chain, left = np.ones(n), np.arange(n), [], np.ones(n, bool)
+    while left.sum() > 1:
+        if not chain:
+            chain.append(int(left.argmax()))
+        x = chain[-1]
+        y = int(d[x].argmin())
+        if len(chain) < 2 or d[x, chain[-2]] > d[x, y]:
+            chain.append(y)
+            continue
+        y = chain[-2]
+        del chain[-2:]
+        i, j = min(x, y), max(x, y)
         if not d[i, j] < distance:
-            break
-        i, j = min(i, j), max(i, j)
+            left[[i, j]] = False
+            d[[i, j]] = np.inf
+            d[:, [i, j]] = np.inf
+            chain.clear()
+            continue
         merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        alive[j] = False
+        left[j] = False
         head[head == j] = i
+    return head
+
+
+def average_linkage(vectors: np.ndarray, distance: float) -> np.ndarray:
+    """Cluster numbers by average linkage on cosine distance: the closest two clusters merge while they are nearer than
+    distance. Numbers go by each cluster's first row."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    head = _parts(unit, distance)
+    for first in np.flatnonzero(np.bincount(head, minlength=len(unit)) > 1):
+        at = np.flatnonzero(head == first)
+        head[at] = at[_linked(unit[at], distance)]
     return np.unique(head, return_inverse=True)[1]
 
 
 def clusters(items: DataFrame, similarity: float = CLUSTER_SIMILARITY, key: str = "norm", group: str = "type", vector: str = "embedding") -> DataFrame:
     """(type, key, cluster): average linkage within each type; cluster is the least key of its members.
 
-    Average linkage needs all distances of a type at once, so this is for vocabularies (thousands of labels), which the
-    number of distinct labels bounds, and not for records.
+    A type is one task, which holds its vectors and the distances within one component of near pairs; so this is for
+    vocabularies (tens of thousands of labels), which the number of distinct labels bounds, and not for records.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -134,27 +171,50 @@ def exact_matches(mentions: DataFrame, vocab: DataFrame, order: str = "ord") ->
     return j.select(*mentions.columns, method.alias("method"), F.coalesce("by_label", "by_alias").alias("concept_id"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def nearest(mentions: DataFrame, vocab: DataFrame, threshold: float = GROUND_SIMILARITY, block: int = 4096) -> DataFrame:
     """mentions (key, type, embedding) with the most similar vocabulary entry (concept, type, embedding, ord): of the same
     type where any entry has it, else of all; of equal ones the first. Similarity at the threshold counts.
 
-    The vocabulary is the stated set that all mentions meet; it comes in blocks of `block` entries, each mention keeps its
-    best of every block, and the best of those wins, so neither side has to fit in one task.
+    The vocabulary is the stated set that all mentions meet: both sides come in blocks of about `block` vectors, each pair of
+    blocks is one matrix product, and the best of a mention's blocks wins, so neither side has to fit in one task.
     """
-    types = vocab.select("type").distinct()
-    m = mentions.join(types.select(F.col("type").alias("__known")), F.col("type") == F.col("__known"), "left").withColumn("__type", F.coalesce("__known", F.lit("")))
-    entries = vocab.withColumn("__block", F.floor(F.col("ord") / block))
-    same = entries.select(F.col("type").alias("__type"), "__block", "concept", "ord", F.col("embedding").alias("__v"))
-    every = entries.select(F.lit("").alias("__type"), "__block", "concept", "ord", F.col("embedding").alias("__v"))
-    blocks = same.union(every).groupBy("__type", "__block").agg(F.array_sort(F.collect_list(F.struct("ord", "concept", "__v"))).alias("entries"))
-    j = m.join(blocks, "__type")
-    sims = F.transform("entries", lambda e: F.struct(dot(F.col("embedding"), e["__v"]).alias("similarity"), (-e["ord"]).alias("first"), e["concept"].alias("concept")))
-    best = j.withColumn("__best", F.array_max(sims)).groupBy("key").agg(F.max("__best").alias("b"))
-    return best.select("key", F.col("b.concept").alias("concept"), F.col("b.similarity").alias("similarity"), (F.col("b.similarity") >= threshold).alias("grounded"))
+    # Types are few, so their counts come to the driver.
+    counted = lambda df: {r["type"]: r["count"] for r in df.groupBy("type").count().collect()}
+    entries, asked = counted(vocab), counted(mentions)
+    lefts: dict[str, int] = {t: n for t, n in asked.items() if t in entries}
+    if other := sum(n for t, n in asked.items() if t not in entries):
+        lefts[""] = other
+        entries[""] = sum(entries.values())
+    ways = lambda counts, t: F.element_at(F.create_map(*[F.lit(x) for k in lefts for x in (k, max(1, -(-counts[k] // block)))]), t) if lefts else F.lit(1)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    known = F.coalesce(F.col("type").isin(*[t for t in lefts if t]), F.lit(False))
+    left = mentions.select("key", F.when(known, F.col("type")).otherwise("").alias("__type"), "embedding")
+    left = left.select("__type", place("key", ways(lefts, F.col("__type"))).alias("__i"), each(ways(entries, F.col("__type"))).alias("__j"), "key", "embedding")
+    right = vocab.select(F.explode(F.array("type", F.lit("")) if "" in lefts else F.array("type")).alias("__type"), "concept", "ord", F.col("embedding").alias("entry")).where(F.col("__type").isin(*lefts))
+    right = right.select("__type", each(ways(lefts, F.col("__type"))).alias("__i"), place("concept", ways(entries, F.col("__type"))).alias("__j"), "concept", "ord", "entry")
+    kinds = dict(mentions.dtypes) | dict(vocab.dtypes)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            b = b.sort_values("ord", kind="stable")
+            u, v = np.array(a["embedding"].tolist(), float), np.array(b["entry"].tolist(), float)
+            concept, ord_ = b["concept"].tolist(), b["ord"].tolist()
+            for at in range(0, len(u), 256):
+                sims = u[at : at + 256] @ v.T
+                for k, row in enumerate(sims):
+                    # What rounding may have put in another order is added up again, from left to right.
+                    near = np.flatnonzero(row >= row.max() - 1e-9)
+                    exact = [float(np.cumsum(u[at + k] * v[n])[-1]) for n in near]
+                    n = int(np.argmax(exact))
+                    rows.append((a["key"].iloc[at + k], exact[n], ord_[near[n]], concept[near[n]]))
+        return pd.DataFrame(rows, columns=["key", "similarity", "ord", "concept"])
+
+    key = ["__type", "__i", "__j"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, f"key {kinds['key']}, similarity double, ord {kinds['ord']}, concept {kinds['concept']}")
+    top = found.groupBy("key").agg(F.max_by(F.struct("concept", "similarity"), F.struct("similarity", (-F.col("ord")).alias("first"))).alias("b"))
+    return top.select("key", "b.concept", "b.similarity", (F.col("b.similarity") >= threshold).alias("grounded"))
 
 
 def grounded(mentions: DataFrame, vocab: DataFrame, similar: DataFrame | None = None) -> DataFrame:

@@ -78,8 +78,8 @@ def ground(edges: DataFrame, stances: DataFrame, vocab: DataFrame, embedder: Emb
     similar = None
     if embedder is not None:
         rest = V.exact_matches(mentions, entries).where("method is null")
-        m = embedded(rest.select(F.col("norm").alias("key"), "type", "label"), embedder)
-        v = embedded(entries.select(F.col("concept_id").alias("concept"), "type", "label", "ord"), embedder)
+        m = embedded(rest.select(F.col("norm").alias("key"), "type", "label"), embedder).persist(StorageLevel.DISK_ONLY)
+        v = embedded(entries.select(F.col("concept_id").alias("concept"), "type", "label", "ord"), embedder).persist(StorageLevel.DISK_ONLY)
         similar = V.nearest(m, v, threshold).where("grounded").select(F.col("key").alias("norm"), F.col("concept").alias("concept_id"))
     report = stored(V.grounded(mentions, entries, similar))
     ids = report.select("norm", "concept_id")

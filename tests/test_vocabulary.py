@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +30,22 @@ def test_average_linkage_against_a_naive_one(seed):
     assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got)} == naive(x, 0.45)
 
 
+@pytest.mark.parametrize("distance", [0.05, 0.2, 0.6, 1.1])
+def test_average_linkage_over_several_components(distance):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([c + 0.15 * rng.normal(size=(12, 6)) for c in rng.normal(size=(5, 6))])
+    got = V.average_linkage(x, distance)
+    assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got)} == naive(x, distance)
+    assert got.tolist() == np.unique(got[np.sort(np.unique(got, return_index=True)[1])], return_inverse=True)[1][got].tolist()
+
+
+def test_average_linkage_of_many_labels_takes_seconds():
+    x = np.random.default_rng(3).normal(size=(4000, 16))
+    start = time.perf_counter()
+    V.average_linkage(x, 0.45)
+    assert time.perf_counter() - start < 20
+
+
 def test_average_linkage_does_not_merge_at_the_threshold():
     x = np.array([[1.0, 0.0], [0.0, 1.0]])
     assert len(set(V.average_linkage(x, 1.0))) == 2
@@ -49,7 +67,7 @@ def test_candidates_take_the_majority_type_and_first_form(spark):
 def test_nearest_prefers_the_type_then_falls_back(spark):
     vocab = spark.createDataFrame([("c0", "x", [1.0, 0.0], 0), ("c1", "y", [0.8, 0.6], 1), ("c2", "y", [0.8, 0.6], 2)], "concept string, type string, embedding array<double>, ord int")
     m = spark.createDataFrame([("a", "y", [1.0, 0.0]), ("b", "z", [1.0, 0.0]), ("c", "x", [0.0, 1.0])], "key string, type string, embedding array<double>")
-    for block in (1, 4096):
+    for block in (1, 2, 4096):
         got = {r.key: (r.concept, round(r.similarity, 6), r.grounded) for r in V.nearest(m, vocab, 0.8, block).collect()}
         assert got == {"a": ("c1", 0.8, True), "b": ("c0", 1.0, True), "c": ("c0", 0.0, False)}
 
