@@ -64,7 +64,10 @@ def finish(edges: DataFrame, stances: DataFrame, vocab: DataFrame, turns: DataFr
     files.write_table(V.registry_of(stored(grown, "grown_vocab")), f"{out}/node_registry")
     registry = spark.read.schema(files.REGISTRY_SCHEMA).json(f"{out}/node_registry")
     store = viewer.Store(spark.read.parquet(f"{out}/grounded_edges"), spark.read.parquet(f"{out}/grounded_stances"), registry, demographics)
-    viewer.document_json(viewer.graph_document(store), f"{out}/graph_data")
+    document = viewer.graph_document(store)
+    viewer.document_json(document, f"{out}/graph_data")
+    files.write_document(document, f"{out}/graph_data.json")
+    files.write_keyed(registry, "node_id", f"{out}/node_registry.json")
     files.write_table(S.labelling_template(turns, s.labelling_sample, s.labelling_seed), f"{out}/labeling_template")
     viewer.document_json(metrics(store.edges, store.stances, demographics, gold), f"{out}/metrics")
     return store

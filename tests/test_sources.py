@@ -51,3 +51,33 @@ def test_views_and_document(spark, tmp_path):
     assert two["links"].where("presence = 'a'").count() == 0
     viewer.document_json(viewer.graph_document(store), str(tmp_path / "doc"))
     assert spark.read.json(str(tmp_path / "doc" / "raw_edges")).count() == store.edges.count()
+    tables = viewer.graph_document(store) | {"empty": store.edges.limit(0)}
+    files.write_document(tables, str(tmp_path / "graph.json"))
+    doc = json.loads((tmp_path / "graph.json").read_text())
+    assert {k: len(v) for k, v in doc.items()} == {k: df.count() for k, df in tables.items()}
+    assert set(doc["raw_edges"][0]) == set(tables["raw_edges"].columns)  # nulls too
+    assert sorted(p.name for p in tmp_path.iterdir() if "graph" in p.name) in (["graph.json"], [".graph.json.crc", "graph.json"])
+
+
+def test_registry_as_an_object_by_id(spark, tmp_path):
+    r = spark.createDataFrame([('n"1', "a", "topic", ["A", None]), ("n2", None, "value", [])], files.REGISTRY_SCHEMA)
+    path = str(tmp_path / "registry.json")
+    files.write_keyed(r, "node_id", path)
+    assert json.loads((tmp_path / "registry.json").read_text())['n"1'] == {"node_id": 'n"1', "label": "a", "type": "topic", "aliases": ["A", None]}
+    assert sorted(map(str, files.read_keyed(spark, path, files.REGISTRY_SCHEMA).collect())) == sorted(map(str, r.collect()))
+    files.write_keyed(r.limit(0), "node_id", path)
+    assert json.loads((tmp_path / "registry.json").read_text()) == {}
+
+
+def test_rows_go_by_their_place_in_files(spark, tmp_path):
+    """However a file is split: the last value of a participant wins, and segments keep their order."""
+    (tmp_path / "a.csv").write_text("participant_id,sex\n" + "".join(f"p1,{k}\n" for k in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert files.read_demographics(spark, [str(tmp_path / "a.csv")]).collect()[0].sex == "2999"
+        (tmp_path / "s.csv").write_text("table_id,transcript\n" + "".join(f"t,{k}\n" for k in range(3000)))
+        got = files.read_segments(spark, str(tmp_path / "s.csv"), multiLine="false")
+        assert got.rdd.getNumPartitions() > 1 and [r.transcript for r in got.orderBy("ord").collect()] == [str(k) for k in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
