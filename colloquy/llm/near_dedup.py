@@ -4,7 +4,7 @@
    are one class from here on, represented by the least id.
 2. Inverted lists of the retained values generate overlaps. A list of up to SHORT members gives all its pairs, which are
    counted over lists; a pair whose count, with the values that may be in longer lists, is too small for a link goes. A
-   longer list pairs its members with two of them, chosen by the value itself: that finds large groups of near copies.
+   longer list pairs its members with two of them, first and last in a random order: that finds large groups of copies.
 3. The union sketch of a pair estimates its similarity; pairs far below the threshold go. Components of what is left
    are clusters.
 4. A link between clusters can be hidden only where all values that two texts share are in long lists. Texts with as many
@@ -35,8 +35,8 @@ from colloquy.llm.token_counts import byte_lengths, portions
 WORDS, KEPT = 5, 32
 #: Pairs at the threshold that a filter may lose, and bands of minima.
 LOST, BANDS = 5e-6, 48
-#: Members of a list that gives all its pairs.
-SHORT = 16
+#: Members of a list that gives all its pairs; orders in which longer ones choose pivots.
+SHORT, ORDERS = 16, 4
 #: Texts of a band that are compared at once; this bounds memory only.
 BAND_BLOCK = 500
 #: Shingles and texts in a block.
@@ -308,10 +308,11 @@ def near_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = written(classes.select("print", "rep.doc", "rep.version", "sketch"), "classes")
     entries = reps.select("doc", F.explode("sketch").alias("v"), F.size("sketch").cast("short").alias("size"))
     listed = written(entries.join(entries.groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "v"), "lists")
-    # A member's place in a long list is its id against the value's bits; first and last are the pivots.
-    long, place = listed.where(F.col("members") > SHORT), F.col("doc").bitwiseXOR(F.col("v"))
-    ends = long.groupBy("v").agg(F.min(place).alias("p"), F.max(place).alias("q"))
-    pivots = long.join(ends, "v").select("doc", F.explode(F.array(F.col("p").bitwiseXOR(F.col("v")), F.col("q").bitwiseXOR(F.col("v")))).alias("pivot")).where("doc != pivot")
+    # A member's place in a long list is its id in one of ORDERS orders; first and last are the pivots. As lists of one
+    # order choose alike, members of a large group have a few pivots and not two for each value.
+    long, order = listed.where(F.col("members") > SHORT), F.xxhash64(F.pmod("v", F.lit(ORDERS)))
+    ends = long.groupBy("v").agg(F.min(F.col("doc").bitwiseXOR(order)).alias("p"), F.max(F.col("doc").bitwiseXOR(order)).alias("q"))
+    pivots = long.join(ends, "v").select("doc", F.explode(F.array(F.col("p").bitwiseXOR(order), F.col("q").bitwiseXOR(order))).alias("pivot")).where("doc != pivot")
     pairs = written(pivots.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).union(_overlapping(listed, shared)).distinct(), "pairs")
     # Only the upper halves of retained values travel with pairs.
     short = reps.select("doc", F.transform("sketch", lambda v: (F.shiftrightunsigned(v, 32) - F.lit(1 << 31)).cast("int")).alias("s"))
