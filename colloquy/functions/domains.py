@@ -5,7 +5,8 @@ RELATIONS = (
     "causes", "increases", "reduces", "enables", "prevents", "reinforces", "undermines", "increases_exposure_to",
     "supports", "opposes", "associated_with", "expresses", "rejects", "questions", "reports",
 )
-CAUSAL_RELATIONS = RELATIONS[:8]
+#: Relations that state a cause, and such that state a position.
+CAUSAL_RELATIONS = ("causes", "increases", "reduces", "enables", "prevents", "reinforces", "undermines", "increases_exposure_to")
 VALUE_RELATIONS = ("expresses", "rejects", "questions", "reports", "supports", "opposes")
 STANCES = ("asserted", "rejected", "questioned", "reported", "uncertain")
 POLARITIES = {"supports": 1, "neutral": 0, "opposes": -1}

@@ -74,6 +74,19 @@ def polarity_label(mean: Column) -> Column:
     return F.when(mean.isNull(), "n/a").otherwise(F.concat(F.format_number(mean, 2), F.lit(" ("), word, F.lit(")")))
 
 
+#: Colours (red, green, blue) of a supporting, a neutral and an opposing position.
+SUPPORT_RGB, NEUTRAL_RGB, OPPOSE_RGB = (22, 163, 74), (156, 163, 175), (220, 38, 38)
+
+
+def polarity_colour(mean: Column) -> Column:
+    """The colour between neutral and the position that a mean polarity leans to, as rgb(red, green, blue); null and NaN are
+    neutral, means beyond -1 and 1 count as these."""
+    known = F.when(mean.isNull() | F.isnan(mean), F.lit(0.0)).otherwise(mean.cast("double"))
+    part = F.least(F.abs(known), F.lit(1.0))
+    channel = lambda n, s, o: F.floor(F.lit(float(n)) + F.when(known >= 0, F.lit(float(s - n))).otherwise(F.lit(float(o - n))) * part + 0.5).cast("string")
+    return F.concat(F.lit("rgb("), F.concat_ws(", ", *map(channel, NEUTRAL_RGB, SUPPORT_RGB, OPPOSE_RGB)), F.lit(")"))
+
+
 def short_label(label: Column) -> Column:
     return F.when(F.char_length(label) > 22, F.concat(F.substring(label, 1, 20), F.lit("..."))).otherwise(label)
 

@@ -70,3 +70,32 @@ def totals(edges: DataFrame, stances: DataFrame, registry: DataFrame) -> DataFra
     parts = (("edges", edges), ("stances", stances), ("nodes", registry))
     rows = [df.agg(F.count(F.lit(1)).alias("total")).select(F.lit(k).alias("kind"), "total") for k, df in parts]
     return rows[0].union(rows[1]).union(rows[2])
+
+
+def stage_keys() -> dict[str, tuple[Column, Column]]:
+    """For each stage of the pipeline which records say something about it, and what: labels count case aside."""
+    low = lambda c: F.lower(F.col(c))
+    ends, yes = (low("source_label"), low("target_label")), F.lit(True)
+    key = lambda *c: F.array(F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in c]))
+    of = lambda *c: key(*ends, *map(F.col, c))
+    return {
+        "concept_extraction": (yes, F.array(*ends)),
+        "concept_normalisation": (yes, F.concat(key(ends[0], F.col("source_node_id")), key(ends[1], F.col("target_node_id")))),
+        "edge_detection": (yes, key(F.least(*ends), F.greatest(*ends))),
+        "relation_classification": (yes, of("relation")),
+        "causal_direction": (F.col("relation").isin(*D.CAUSAL_RELATIONS), of()),
+        "stance_classification": (yes, of("relation", "stance")),
+        "explicitness_classification": (yes, of("relation", "explicitness")),
+    }
+
+
+def stage_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(stage, true_positives, predicted_count, gold_count, precision, recall, f1) of the seven stages, over distinct keys, in
+    one pass; 0 where a share has no denominator. Both sides are edges."""
+    each = F.array(*[F.struct(F.lit(name).alias("stage"), F.when(about, keys).otherwise(F.array().cast("array<string>")).alias("keys")) for name, (about, keys) in stage_keys().items()])
+    long = lambda df, p: df.select(F.explode(each).alias("x")).select("x.stage", F.explode("x.keys").alias("key"), F.lit(p).alias("p"))
+    seen = long(predicted, True).union(long(gold, False)).groupBy("stage", "key").agg(F.bool_or("p").alias("p"), F.bool_or(~F.col("p")).alias("g"))
+    n = seen.groupBy("stage").agg(F.count_if(F.col("p") & F.col("g")).alias("true_positives"), F.count_if("p").alias("predicted_count"), F.count_if("g").alias("gold_count"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    n = n.withColumns({"precision": share("true_positives", "predicted_count"), "recall": share("true_positives", "gold_count")})
+    return n.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

@@ -365,6 +365,16 @@ def polarity_labels(t):
     return G.node_polarity(t.e, t.s).select("node_id", F.regexp_extract(X.polarity_label(F.col("mean_polarity")), r"\((\w+)\)", 1).alias("position"))
 
 
+_CHANNEL = "CAST(CAST(floor({0} + CASE WHEN m >= 0 THEN {1} - {0} ELSE {2} - {0} END * least(abs(m), 1) + 0.5) AS INT) AS VARCHAR)"
+
+
+@query(f",, p AS ({_POLARITY.format('e', 's')}), q AS (SELECT node_id, mean_polarity * 7 AS m FROM p UNION ALL SELECT NULL, 0) SELECT node_id, 'rgb(' || " + " || ', ' || ".join(_CHANNEL.format(*c) for c in ((156, 22, 220), (163, 163, 38), (175, 74, 38))) + " || ')' AS colour FROM q", "e s")
+def polarity_colours(t):
+    """Means are drawn apart, so that some go beyond 1; a null mean is neutral."""
+    p = G.node_polarity(t.e, t.s).select("node_id", F.col("mean_polarity") * 7)
+    return p.union(t.spark.sql("SELECT CAST(NULL AS STRING), CAST(NULL AS DOUBLE)")).toDF("node_id", "m").select("node_id", X.polarity_colour(F.col("m")).alias("colour"))
+
+
 @query(_WEIGHTS.format(_ENDS + " UNION ALL SELECT concept_node_id FROM s") + " HAVING count(m.id) > 0", "e s r")
 def connected_nodes(t):
     return viewer.single_view(t.store, hide_isolated=True)["nodes"].select("node_id", "label", "type", "weight")
@@ -617,6 +627,23 @@ def gold_prf(t):
     return E.precision_recall(triple.where("round_id < '1997'"), triple.where("round_id >= '1996'"))
 
 
+_STAGE = {
+    "concept_extraction": ["lower(source_label)", "lower(target_label)"],
+    "concept_normalisation": ["lower(source_label) || '|' || coalesce(source_node_id, '')", "lower(target_label) || '|' || coalesce(target_node_id, '')"],
+    "edge_detection": ["least(lower(source_label), lower(target_label)) || '|' || greatest(lower(source_label), lower(target_label))"],
+    "relation_classification": ["concat_ws('|', lower(source_label), lower(target_label), relation)"],
+    "causal_direction": ["CASE WHEN " + _CAUSAL + " THEN concat_ws('|', lower(source_label), lower(target_label)) END"],
+    "stance_classification": ["concat_ws('|', lower(source_label), lower(target_label), relation, stance)"],
+    "explicitness_classification": ["concat_ws('|', lower(source_label), lower(target_label), relation, explicitness)"],
+}
+_STAGES = " UNION ALL ".join(f"SELECT '{name}' AS stage, {key} AS key, round_id FROM e" for name, keys in _STAGE.items() for key in keys)
+
+
+@query(f",, k AS ({_STAGES}), b AS (SELECT stage, key, bool_or(round_id < '1997') AS p, bool_or(round_id >= '1996') AS g FROM k WHERE key IS NOT NULL GROUP BY stage, key), n AS (SELECT stage, count(*) FILTER (p AND g) AS true_positives, count(*) FILTER (p) AS predicted_count, count(*) FILTER (g) AS gold_count FROM b GROUP BY stage) SELECT *, CAST(true_positives AS DOUBLE) / predicted_count AS precision, CAST(true_positives AS DOUBLE) / gold_count AS recall, 2 * (CAST(true_positives AS DOUBLE) / predicted_count) * (CAST(true_positives AS DOUBLE) / gold_count) / (CAST(true_positives AS DOUBLE) / predicted_count + CAST(true_positives AS DOUBLE) / gold_count) AS f1 FROM n", "e")
+def stage_scores(t):
+    return E.stage_scores(t.e.where("round_id < '1997'"), t.e.where("round_id >= '1996'"))
+
+
 @query(_GROUPED + ", pp AS (SELECT DISTINCT participant_id FROM (SELECT participant_id FROM e UNION ALL SELECT participant_id FROM s)), gp AS (SELECT coalesce(political_affiliation, 'Unknown') AS grp, count(*) AS n FROM pp LEFT JOIN d USING (participant_id) GROUP BY 1) SELECT 'all' AS value, (SELECT count(*) FROM e) AS edge_count, (SELECT count(*) FROM pp) AS speaker_count UNION ALL SELECT ge.grp, count(*), any_value(gp.n) FROM ge JOIN gp ON gp.grp = ge.grp WHERE ge.grp <> 'Unknown' GROUP BY ge.grp", "e s d")
 def affiliation_filters(t):
     return E.affiliation_filters(t.e, t.s, t.d)
